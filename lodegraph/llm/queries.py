@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repair
+from . import decontamination, packing, repair
 from .common import table
 
 
@@ -20,12 +20,17 @@ def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(spark, table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repair_token_files": op3_repair_token_files,
+    "op6_suffix_array_decontamination": op6_suffix_array_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 SQL: dict[str, str] = {}
