@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, repair
+from . import decontamination, neardup, packing, repair
 from .common import table
 
 
@@ -16,6 +16,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(spark, table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -29,6 +33,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_repair_token_files": op3_repair_token_files,
     "op6_suffix_array_decontamination": op6_suffix_array_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
