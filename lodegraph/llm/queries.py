@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, neardup, packing, repair
+from . import chat, decontamination, html_text, neardup, packing, repair
 from .common import table
 
 
@@ -16,6 +16,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_text_density_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -32,10 +36,22 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+#: Both texts of conversation -1 hold control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op10_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.tree(spark, rows.union(added)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_text_density_extraction": op1_text_density_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_repair_token_files": op3_repair_token_files,
     "op6_suffix_array_decontamination": op6_suffix_array_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_prefix_tree_chat": op10_prefix_tree_chat,
 }
 SQL: dict[str, str] = {}
