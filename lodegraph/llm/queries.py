@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, neardup, packing, repair
+from . import chat, decontamination, html_text, neardup, packing, repair, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(spark, table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_density_extraction": op1_text_density_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_repair_token_files": op3_repair_token_files,
+    "op5_boosted_toxicity": op5_boosted_toxicity,
     "op6_suffix_array_decontamination": op6_suffix_array_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_prefix_tree_chat": op10_prefix_tree_chat,
