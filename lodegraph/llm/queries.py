@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, neardup, packing, repair, toxicity
+from . import chat, decontamination, html_text, neardup, order_minhash, packing, personal_data, repair, toxicity, url_filter
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(spark, table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,10 +40,18 @@ def op6_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_host_trust_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(spark, table(spark, sf_dir, "pages"))
+
+
 #: Both texts of conversation -1 hold control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -54,9 +66,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_density_extraction": op1_text_density_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_repair_token_files": op3_repair_token_files,
+    "op4_weak_supervision_pii": op4_weak_supervision_pii,
     "op5_boosted_toxicity": op5_boosted_toxicity,
     "op6_suffix_array_decontamination": op6_suffix_array_decontamination,
+    "op7_order_minhash": op7_order_minhash,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_host_trust_urls": op9_host_trust_urls,
     "op10_prefix_tree_chat": op10_prefix_tree_chat,
 }
 SQL: dict[str, str] = {}
