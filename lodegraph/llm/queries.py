@@ -10,7 +10,7 @@ from . import chat, decontamination, html_text, neardup, order_minhash, packing,
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -25,7 +25,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.token_files(spark, table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return repair.token_files(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(spark, table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_host_trust_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
