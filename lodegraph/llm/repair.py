@@ -30,7 +30,7 @@ SHARD_TOKENS = 1 << 19
 #: A pair is frequent that occurs so often in its shard.
 MIN_COUNT = 48
 MAX_ROUNDS = 12
-_HASH_BITS = 20
+_HASH_BITS = 16
 
 SHARD = "part int, shard int, before long, n_tokens long, base int, doc_ids binary, doc_null binary, doc_tokens binary, rules binary, round_ends binary, exp_lengths binary, sequence binary"
 
@@ -44,55 +44,66 @@ class Grammar:
     sequence: np.ndarray
 
 
-def _frequent(seq: np.ndarray, min_count: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (a << 32 | b) of the frequent pairs, the most frequent first, and for each position the rank of its pair."""
-    none = np.iinfo(np.int32).max
-    rank = np.full(len(seq) + 1, none, np.int32)
-    a, b = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    key = (a << np.uint64(32)) | b
-    h = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-    maybe = np.flatnonzero(np.bincount(h, minlength=1 << _HASH_BITS)[h] >= min_count)
-    if not len(maybe):
-        return np.zeros(0, np.uint64), rank
-    kinds, count = np.unique(key[maybe], return_counts=True)
+def _frequent(seq: np.ndarray, pos: np.ndarray, min_count: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (a << 32 | b) of the frequent pairs among those at pos, the most frequent first; their places and ranks."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    a, b = seq[pos], seq[pos + 1]
+    h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)
+    maybe = np.bincount(h, minlength=1 << _HASH_BITS)[h] >= min_count
+    pos = pos[maybe]
+    if not len(pos):
+        return none
+    key = (a[maybe].astype(np.uint64) << np.uint64(32)) | b[maybe]
+    kinds, count = np.unique(key, return_counts=True)
     best = np.lexsort((kinds, -count))[:most]
     best = best[count[best] >= min_count]
     if not len(best):
-        return np.zeros(0, np.uint64), rank
-    place = np.full(len(kinds), none, np.int32)
+        return none
+    place = np.full(len(kinds), -1, np.int32)
     place[best] = np.arange(len(best), dtype=np.int32)
-    rank[maybe + 1] = place[np.searchsorted(kinds, key[maybe])]
-    return kinds[best], rank
+    rank = place[np.searchsorted(kinds, key)]
+    return kinds[best], pos[rank >= 0], rank[rank >= 0]
 
 
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, max_rounds: int = MAX_ROUNDS, max_rules: int | None = None) -> Grammar:
-    """Rules and sequence; 16-bit symbols are enough for the public vocabularies with the default number of rules."""
+    """Rules and sequence; 16-bit symbols are enough for the public vocabularies with the default number of rules.
+
+    After the first round only pairs with a new symbol, and those that were frequent before and lost a place
+    to another pair, can be frequent: the counts of all others have only fallen.
+    """
     max_rules = max(0, (1 << 16) - base) if max_rules is None else max_rules
+    none = np.iinfo(np.int32).max
     seq, rules, ends = ids.astype(np.uint32), [], []
+    pos = np.arange(len(seq) - 1) if len(seq) > 1 else np.zeros(0, np.int64)
     made = 0
     for _ in range(max_rounds):
-        if len(seq) < 2 or made >= max_rules:
+        if not len(pos) or made >= max_rules:
             break
-        kinds, rank = _frequent(seq, min_count, max_rules - made)
+        kinds, at, own = _frequent(seq, pos, min_count, max_rules - made)
         if not len(kinds):
             break
-        # rank[i + 1] is that of the pair at i; an occurrence stays if no overlapping one ranks before it
-        here = rank[1:-1]
-        after = np.append(here[1:], np.iinfo(np.int32).max)
-        take = (here != np.iinfo(np.int32).max) & (here <= after) & (here <= rank[: len(here)])
-        at = np.flatnonzero(take)
+        rank = np.full(len(seq) + 1, none, np.int32)  # of the pair at each place; the last entry also stands before the first
+        rank[at] = own
+        win = (own <= rank[at + 1]) & (own <= rank[at - 1])  # no overlapping occurrence ranks before it
+        at, own = at[win], own[win]
         first = np.ones(len(at), bool)
         first[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        used, which = np.unique(here[at], return_inverse=True)
+        even = (np.arange(len(at)) - run) % 2 == 0
+        at, own = at[even], own[even]
+        used, which = np.unique(own, return_inverse=True)
         keys = kinds[used]
         rules.append(np.stack(((keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)), 1))
-        seq = seq.copy()
         seq[at] = (base + made + which).astype(np.uint32)
+        rank[at] = none
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
+        again = rank[:-1][keep] != none
+        new = at - np.arange(len(at))
+        again[new] = True
+        again[new[new > 0] - 1] = True
+        pos = np.flatnonzero(again[:-1])
         made += len(used)
         ends.append(made)
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
