@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, neardup, order_minhash, packing, personal_data, repair, toxicity, url_filter
+from . import chat, decontamination, html_text, neardup, oracle, order_minhash, packing, personal_data, repair, toxicity, url_filter
 from .common import table
 
 
@@ -37,7 +37,8 @@ def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match", "longest_at")  # SQL checks the rest
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_trust_urls": op9_host_trust_urls,
     "op10_prefix_tree_chat": op10_prefix_tree_chat,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.sql(CONTROL)
