@@ -610,3 +610,144 @@ def v10_grep(spark, d):
     from lodegraph.operators.search import grep
 
     return grep(t(spark, d, "documents").select("doc_id", "text"), "(the|der|las?) ").select("doc_id", "n")
+
+
+# More of the inventory
+
+
+@query("SELECT b.id, b.qualified_name, a.qualified_name AS holder FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE rel_type = 'CONTAINS_MODULE' AND starts_with(a.qualified_name, 'ASIA') ORDER BY holder, b.id", NODES, EDGES)
+def g21_rehydration(spark, d):
+    g = graph(spark, d)
+    rows = pattern.hop(g, pattern.renamed(g.labelled("Package").where(F.col("qualified_name").startswith("ASIA")), "a"), "a", ["CONTAINS_MODULE"], g.nodes, "b")
+    return rows.select(F.col("b_id").alias("id"), F.col("b_qualified_name").alias("qualified_name"), F.col("a_qualified_name").alias("holder")).orderBy("holder", "id")
+
+
+@query("SELECT name, count(*) AS n, min(qualified_name) AS first_qn FROM (SELECT regexp_extract(qualified_name, '[^.]*$') AS name, qualified_name FROM nodes) GROUP BY name HAVING count(*) >= 1", NODES)
+def g24_simple_names(spark, d):
+    """The index of simple names is a derived column."""
+    return graph(spark, d).nodes.groupBy(F.substring_index("qualified_name", ".", -1).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("first_qn"))
+
+
+@query("SELECT count(*) FILTER (start_line IS NOT NULL) AS with_span, count(*) FILTER (start_line IS NULL) AS structural FROM nodes", NODES)
+def a12_structural_tier(spark, d):
+    return graph(spark, d).nodes.agg(F.count("start_line").alias("with_span"), F.count_if(F.col("start_line").isNull()).alias("structural"))
+
+
+@query("SELECT caller, callee, count(*) AS count FROM (SELECT event_type AS callee, user_id, ts, event_id, (SELECT max_by(f.event_type, (f.ts, f.event_id)) FROM events f WHERE f.user_id = e.user_id AND f.event_type <> 'error' AND (f.ts, f.event_id) < (e.ts, e.event_id)) AS caller FROM events e WHERE event_type <> 'error') WHERE caller IS NOT NULL GROUP BY caller, callee")
+def a13_weighted_adjacency(spark, d):
+    """T8's fold: the events of a user are a stack, errors are frames outside the project."""
+    from lodegraph.operators.trace import weighted_edges
+
+    e = t(spark, d, "events")
+    depth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return weighted_edges(e.select(F.col("user_id").alias("sample_id"), depth.alias("depth"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("name"), F.lit(1).cast("long").alias("weight")))
+
+
+@query("SELECT CASE WHEN l_quantity < 5 THEN 'outside_repo' WHEN l_quantity < 20 THEN 'unknown_path' ELSE 'no_match' END AS reason, count(*) AS n FROM lineitem GROUP BY 1")
+def a14_unresolved_by_reason(spark, d):
+    q = F.col("l_quantity")
+    return t(spark, d, "lineitem").groupBy(F.when(q < 5, "outside_repo").when(q < 20, "unknown_path").otherwise("no_match").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH r AS (SELECT o_custkey AS q, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders), x AS (SELECT DISTINCT o_custkey AS q, o_orderkey AS item FROM orders WHERE o_orderstatus = 'F') SELECT count(k) AS hits, count(*) AS expected FROM x LEFT JOIN (SELECT * FROM r WHERE k <= 3) USING (q, item)")
+def a15_recall_at_k(spark, d):
+    from lodegraph.operators.scoring import recall_at_k
+
+    o = t(spark, d, "orders")
+    ranked = o.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("position"))
+    return recall_at_k(ranked, ranked.join(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("item")), "item", "left_semi"), 3).select("hits", "expected")
+
+
+@query("SELECT rel_type, count(*) AS attempted, count(*) FILTER (l_partkey < (SELECT count(*) FROM part)) AS created FROM (SELECT l_partkey FROM lineitem UNION ALL SELECT l_partkey + (SELECT count(*) FROM part) FROM lineitem), (SELECT 'REFERENCES' AS rel_type) GROUP BY rel_type")
+def a16_attempted_and_created(spark, d):
+    from lodegraph.operators.merge import attempted_and_created
+
+    line, n = t(spark, d, "lineitem"), t(spark, d, "part").count()
+    row = lambda k: line.select(F.concat(F.lit("p"), (F.col("l_partkey") + k).cast("string")).alias("src"), F.lit("REFERENCES").alias("rel_type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    return attempted_and_created(row(0).union(row(n)), graph(spark, d).nodes.select("id"))
+
+
+@query("SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
+def w6_first_claimant(spark, d):
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
+
+
+@query("SELECT qualified_name FROM (SELECT qualified_name, sum(length(qualified_name)) OVER (ORDER BY qualified_name) AS s, row_number() OVER (ORDER BY qualified_name) AS n FROM (SELECT qualified_name FROM nodes ORDER BY qualified_name LIMIT 500)) WHERE s <= 4000 OR n = 1", NODES)
+def l2_row_and_token_caps(spark, d):
+    """Rows are capped first, then the budget cuts."""
+    from lodegraph.operators.limits import within_budget
+
+    top = graph(spark, d).nodes.select("qualified_name").orderBy("qualified_name").limit(500)
+    return within_budget(top.select("qualified_name", F.length("qualified_name").alias("tokens"), F.lit(0).alias("all")), "tokens", 4000, ["qualified_name"], ["all"]).select("qualified_name")
+
+
+@query("SELECT 'EDGE' AS rel_type, count(*) FILTER (o_orderkey NOT IN (SELECT o_orderkey FROM old)) AS added, (SELECT count(*) FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)) AS removed FROM new", SNAPSHOTS)
+def u3_edge_differences(spark, d):
+    old, new = snapshots(spark, d)
+    rows = lambda df, other: df.select("id").join(other.select("id"), "id", "left_anti")
+    both = rows(new, old).select(F.lit(1).alias("a"), F.lit(0).alias("r")).union(rows(old, new).select(F.lit(0), F.lit(1)))
+    return both.groupBy(F.lit("EDGE").alias("rel_type")).agg(F.sum("a").alias("added"), F.sum("r").alias("removed"))
+
+
+@query("SELECT c_custkey::VARCHAR AS key, c_acctbal > 0 AS old, c_acctbal > 100 AS new FROM customer WHERE (c_acctbal > 0) <> (c_acctbal > 100)")
+def u5_coverage_flips(spark, d):
+    from lodegraph.operators.diff import coverage_flips
+
+    c = t(spark, d, "customer")
+    side = lambda n: c.select(F.col("c_custkey").cast("string").alias("key"), (F.col("c_acctbal") > n).alias("flow_covered"))
+    return coverage_flips(side(0), side(100))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (id IN (SELECT dst FROM r)) AS live, count(*) FILTER (id NOT IN (SELECT dst FROM r)) AS dead FROM nodes WHERE label IN ('Function', 'Class')", "RECURSIVE", NODES, EDGES, "r AS (SELECT dst FROM edges WHERE rel_type = 'CALLS' AND src LIKE '%77' UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.dst AND e.rel_type IN ('CALLS', 'REFERENCES'))")
+def u8_candidates_minus_live(spark, d):
+    g = graph(spark, d)
+    roots = g.typed("CALLS").where(F.col("src").endswith("77")).select(F.col("dst").alias("id"))
+    live = fixpoint.closure(roots, g.typed("CALLS", "REFERENCES")).select("id").withColumn("live", F.lit(True))
+    return g.labelled("Function", "Class").join(live, "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("live").alias("live"), F.count_if(F.col("live").isNull()).alias("dead"))
+
+
+@query("SELECT id, min(depth)::INTEGER AS depth FROM r WHERE depth > 0 AND id <> 11 GROUP BY id", "RECURSIVE", RING, "r AS (SELECT 11::BIGINT AS id, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN ring ON dst = r.id WHERE depth < 3)")
+def r8_reverse_bounded_search(spark, d):
+    return fixpoint.shortest_paths(spark.createDataFrame([(11,)], "id long"), fixpoint.reverse(ring(spark, d)), 3).select("id", "depth")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+def m9_orphan_externals(spark, d):
+    from lodegraph.operators.merge import delete_orphan_externals
+
+    c, o = t(spark, d, "customer"), t(spark, d, "orders").where("o_totalprice > 450000")
+    nodes = c.select(F.col("c_custkey").alias("id"), F.lit("ExternalModule").alias("label"))
+    left = delete_orphan_externals(Graph(nodes, o.select((-1 - F.col("o_orderkey")).alias("src"), F.lit("IMPORTS").alias("rel_type"), F.col("o_custkey").alias("dst")))).nodes
+    return nodes.select("id").join(left, "id", "left_anti")
+
+
+@query("SELECT DISTINCT a.path FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE rel_type = 'CALLS' AND b.path = 'part/Brand#3.go' AND a.path <> b.path", NODES, EDGES)
+def m13_affected_callers(spark, d):
+    from lodegraph.operators.merge import affected_callers
+
+    return affected_callers(graph(spark, d), spark.createDataFrame([("part/Brand#3.go",)], "path string"))
+
+
+@query("SELECT DISTINCT a.label AS src_label, rel_type, b.label AS dst_label FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE (a.label, rel_type, b.label) NOT IN (SELECT * FROM (VALUES ('Project', 'CONTAINS_PACKAGE', 'Package'), ('Package', 'CONTAINS_MODULE', 'Module'), ('Module', 'CALLS', 'Function'), ('Function', 'REFERENCES', 'Class')))", NODES, EDGES)
+def m16_undocumented_triples(spark, d):
+    from lodegraph.operators.audit import undocumented_triples
+
+    g = graph(spark, d)
+    return undocumented_triples(g.nodes, g.edges)
+
+
+@query("SELECT key, CASE WHEN key IN (SELECT p_brand FROM part) THEN key ELSE regexp_replace(key, '/[^/]*$', '') END AS target FROM (SELECT DISTINCT p_brand || '/dev' AS key FROM part UNION SELECT DISTINCT p_brand FROM part)")
+def e10_dispatch_keys(spark, d):
+    from lodegraph.operators.links import link_dispatch_keys
+
+    brand = t(spark, d, "part").select(F.col("p_brand").alias("key")).distinct()
+    return link_dispatch_keys(brand.union(brand.select(F.concat("key", F.lit("/dev")))), brand)
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0")
+def v4_embedding_cache(spark, d):
+    from lodegraph.operators.search import cached
+
+    e = t(spark, d, "embeddings").withColumn("text", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    cache = e.where("vec_id % 5 <> 0").select(F.sha2("text", 256).alias("hash"), "embedding")
+    return cached(e.select("vec_id", "label", "text"), cache).where("embedding is not null").select("vec_id", "label")
