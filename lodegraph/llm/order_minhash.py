@@ -85,11 +85,10 @@ def with_next(spark: SparkSession, rows: DataFrame, carried: list[str]) -> DataF
     placed = rows.join(F.broadcast(guests), ["_id", "_h"], "left")
     own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
     both = F.array_compact(F.array(own, F.when(F.col("_guest_of").isNotNull(), F.struct(F.col("_guest_of").alias("part"), F.lit(True).alias("guest")))))
-    placed = placed.withColumn("_at", F.explode(both)).drop("_guest_of")
-    here = Window.partitionBy("_at.part").orderBy("_at.guest", "_id", "_h")
-    for c in carried:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(here))
-    return placed.where(~F.col("_at.guest")).drop("_at", "_id", "_h")
+    placed = placed.withColumn("_at", F.explode(both)).select("*", F.col("_at.part").alias("_place"), F.col("_at.guest").alias("_guest")).drop("_guest_of", "_at")
+    here = Window.partitionBy("_place").orderBy("_guest", "_id", "_h")  # plain columns and one select: one exchange for all
+    placed = placed.select("*", *[F.lead(c).over(here).alias(f"next_{c}") for c in carried])
+    return placed.where(~F.col("_guest")).drop("_place", "_guest", "_id", "_h")
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
