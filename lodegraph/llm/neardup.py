@@ -11,7 +11,7 @@ collisions of two signatures are counted on one byte a coordinate:
   reports the best ones. Members of a large group of near copies meet others in each of their lists, which
   connects the group without all its pairs.
 
-Pairs with too few collisions fall away; the others are confirmed on the full sets, first the best ones of
+Pairs with too few collisions fall away, then those whose wider sketches agree too seldom; the others are confirmed on the full sets, first the best ones of
 each document and then all those that still lie between two components. Links join into components.
 
 Nulls: a null text is empty; an empty set is linked with nothing. Documents that share a doc_id are one
@@ -34,6 +34,8 @@ from .graph import components
 COORDINATES = 32
 #: Collisions that a pair must have; at a similarity of 0.8 fewer occur once in some million pairs.
 MATCHES = 14
+#: Coordinates of the sketch that pairs are looked at with before their texts are, one byte each, and how many must agree.
+SKETCH, SKETCH_MATCHES = 128, 78
 LIST = 256
 NEIGHBOURS = 2
 #: Lists that may report the same pair: one of them could agree on its byte by chance.
@@ -43,11 +45,11 @@ SIMILARITY = 80  # percent
 NO_ID = -(1 << 63)
 
 _RNG = np.random.Generator(np.random.PCG64(7))
-_A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
 _C = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SET = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, small binary"
+SET = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, small binary, wide binary"
 
 
 def _is_word() -> np.ndarray:
@@ -78,9 +80,10 @@ def sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 1 << 14):
-        np.minimum(low, (_A[:, None] * s[None, at : at + (1 << 14)] + _B[:, None]).min(1), out=low)
+    """The first COORDINATES are posted, all make the sketch."""
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 1 << 11):
+        np.minimum(low, (_A[:, None] * s[None, at : at + (1 << 11)] + _B[:, None]).min(1), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
@@ -89,16 +92,17 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         for at in range(0, b.num_rows, 128):
             part = b.slice(at, 128)
             made = sets(part.column(1), shingle)
-            sig = np.zeros((len(made), COORDINATES), np.uint32)
+            sig = np.zeros((len(made), SKETCH), np.uint32)
             key = np.zeros((2, len(made)), np.uint64)
             for i, s in enumerate(made):
                 if len(s):
                     sig[i] = signature(s)
                     key[0, i], key[1, i] = mix(s ^ _C[40]).sum(), mix(s + _C[41]).sum()
             arrays = [part.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64))]
-            values = pa.array(sig.view(np.int32).ravel())
+            values = pa.array(np.ascontiguousarray(sig[:, :COORDINATES]).view(np.int32).ravel())
             arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(made) * COORDINATES + 1, COORDINATES), pa.int32()), values))
-            arrays.append(pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary()))
+            wide = [r.tobytes() for r in (sig & 0xFF).astype(np.uint8)]
+            arrays += [pa.array([r[:COORDINATES] for r in wide], pa.binary()), pa.array(wide, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SET.split(", ")])
 
 
@@ -187,6 +191,14 @@ def _pairs(percent: int, matches: int, list_size: int) -> object:
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, sketch of a, sketch of b) that agree in enough coordinates, and in how many."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+        hits = (x == y).sum(1)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits.astype(np.int32))], names=["a", "b", "hits"]).filter(pa.array(hits >= SKETCH_MATCHES))
+
+
 def _confirm(percent: int, shingle: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,6 +213,21 @@ def _confirm(percent: int, shingle: int) -> object:
     return run
 
 
+#: Bits of the filter that spares the shuffle most texts that no pair needs; its size doesn't depend on the input.
+FILTER_BITS = 1 << 24
+_BITMAP = 32768  # bits of one value of bitmap_construct_agg
+
+
+def _marked(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among the needed ones: all of these and few others, as long as the filter isn't full."""
+    h = F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS})")
+    bits = needed.select(h.alias("h")).groupBy((F.col("h") / _BITMAP).cast("long").alias("word")).agg(F.bitmap_construct_agg((F.col("h") % _BITMAP)).alias("bits"))
+    at = rows.withColumn("_h", h).withColumn("_word", (F.col("_h") / _BITMAP).cast("long"))
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast((_h % {_BITMAP}) div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    found = at.join(F.broadcast(bits), at["_word"] == bits["word"]).where(byte.bitwiseAND(F.expr("shiftleft(1L, cast(_h % 8 as int))")) != 0)
+    return found.select(*rows.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, matches: int = MATCHES, list_size: int = LIST) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id of its group), kept."""
     short_batches(spark)
@@ -209,15 +236,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 
     made = scratch.write(rows.mapInArrow(lambda batches: _sets(batches, shingle), SET), "sets")
     full = made.where("n_shingles > 0")
-    classes = scratch.write(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("small").alias("small")), "classes")
+    classes = scratch.write(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("small").alias("small"), F.first("wide").alias("wide")), "classes")
 
     posted = classes.select("rep", F.col("n_shingles").alias("n"), "small", F.posexplode("signature").alias("at", "value"))
     posted = posted.select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "rep", "n", "small", F.expr("substring(concat(small, small), at + 2, 8)").alias("sub"))
     listed = posted.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep").select("key", "rep", "n", "small")
-    pairs = scratch.write(listed.mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").groupBy("a", "b").agg(F.max("hits").alias("hits")), "pairs")
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = scratch.write(rows.join(needed, "doc_id", "left_semi"), "texts")
+    met = scratch.write(listed.mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").select("a", "b").distinct(), "met")
+    sketch = lambda x: classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}"))
+    pairs = scratch.write(met.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_sketched, "a long, b long, hits int"), "pairs")
+
+    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    held = _marked(rows, needed)
+    if needed.count() > FILTER_BITS // 2:  # the filter lets too many texts through
+        held = held.join(needed, "doc_id", "left_semi")
+    held = scratch.write(held, "texts")
     left, right = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def confirmed(some: DataFrame, name: str) -> DataFrame:
