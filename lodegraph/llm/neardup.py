@@ -7,9 +7,10 @@ collisions of two signatures are counted on one byte a coordinate:
 
 * a list of up to LIST postings compares all its pairs; a pair is reported from the first lists that both
   share only (the later ones skip it), and its sizes must allow the wanted similarity;
-* a longer list compares each posting with the LIST before it in the order of the next coordinates and
+* a longer list first compares each posting with the LIST before it in the order of the next coordinates and
   reports the best ones. Members of a large group of near copies meet others in each of their lists, which
-  connects the group without all its pairs.
+  connects the group without all its pairs. Once these links are confirmed and joined, the list compares all
+  pairs that still lie between two components, in blocks: no other pair can change the result.
 
 Pairs with too few collisions fall away, then those whose wider sketches agree too seldom; the others are confirmed on the full sets, first the best ones of
 each document and then all those that still lie between two components. Links join into components.
@@ -38,6 +39,8 @@ MATCHES = 14
 SKETCH, SKETCH_MATCHES = 128, 78
 LIST = 256
 NEIGHBOURS = 2
+#: Postings of one block of a long list, about.
+BLOCK = 512
 #: Lists that may report the same pair: one of them could agree on its byte by chance.
 REPORTS = 3
 SHINGLE = 4
@@ -191,6 +194,69 @@ def _pairs(percent: int, matches: int, list_size: int) -> object:
     return run
 
 
+def _across(percent: int, matches: int) -> object:
+    """Reports the pairs of different roots of each group (key, lo, hi), between its blocks lo and hi. Groups come sorted."""
+
+    def met(key: int, same_block: bool, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+        hits = np.zeros((len(x[0]), len(y[0])), np.uint8)
+        for p, q in zip(x[3].T, y[3].T, strict=True):
+            hits += p[:, None] == q[None, :]
+        i, j = np.nonzero(hits >= matches)
+        ok = (x[1][i] != y[1][j]) & (100 * np.minimum(x[2][i], y[2][j]) >= percent * np.maximum(x[2][i], y[2][j]))
+        if same_block:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        ok = (x[3][i] == y[3][j])[:, : key >> 32].sum(1) < REPORTS
+        a, b = x[0][i[ok]], y[0][j[ok]]
+        return np.stack((np.minimum(a, b), np.maximum(a, b)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def take(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            key, lo, hi, block, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+            ends = np.append(edge[1:], len(key))
+            for f, e in zip(edge.tolist()[: None if last else -1], ends.tolist(), strict=False):
+                left, right = (np.flatnonzero(block[f:e] == side) + f for side in (lo[f], hi[f]))
+                if len(left) and len(right):
+                    got = met(int(key[f]), bool(lo[f] == hi[f]), tuple(c[left] for c in rest), tuple(c[right] for c in rest))
+                    if got.shape[1]:
+                        yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+            at = len(key) if last else int(edge[-1])
+            held, rows = [tuple(c[at:] for c in (key, lo, hi, block, *rest))], len(key) - at
+
+        for b in batches:
+            if b.num_rows:
+                small = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                held.append((*(b.column(i).to_numpy().copy() for i in range(7)), small))
+                rows += b.num_rows
+                if rows >= 1 << 14:
+                    yield from take(False)
+        if rows:
+            yield from take(True)
+
+    return run
+
+
+def _blocks(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings of long lists that hold more than one component, once for each group of two blocks to compare.
+
+    A list's largest component has blocks of its own, which are compared with the others' blocks only.
+    """
+    at = hot.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    size = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_root"))
+    lists = size.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.max("n_root").alias("n_main"), F.sum("n_root").alias("n_all")).where("n_all > n_main")
+    lists = lists.select("key", "main", F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"))
+    block = F.expr("cast(if(root = main, others + pmod(xxhash64(rep), mains), pmod(xxhash64(rep), others)) as int)")
+    placed = at.join(lists, "key").withColumn("block", block)
+    to = F.explode(F.expr("sequence(0, if(root = main, others, others + mains) - 1)"))
+    placed = placed.select("key", "block", "rep", "root", "n", "small", to.alias("other"))
+    return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root", "n", "small")
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, sketch of a, sketch of b) that agree in enough coordinates, and in how many."""
     for b in batches:
@@ -240,35 +306,49 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 
     posted = classes.select("rep", F.col("n_shingles").alias("n"), "small", F.posexplode("signature").alias("at", "value"))
     posted = posted.select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "rep", "n", "small", F.expr("substring(concat(small, small), at + 2, 8)").alias("sub"))
+    heavy = scratch.write(posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size).select("key"), "heavy")
+    hot = scratch.write(posted.join(heavy, "key"), "hot")
     listed = posted.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep").select("key", "rep", "n", "small")
-    met = scratch.write(listed.mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").select("a", "b").distinct(), "met")
+    met = listed.mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").select("a", "b").distinct()
     sketch = lambda x: classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}"))
-    pairs = scratch.write(met.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_sketched, "a long, b long, hits int"), "pairs")
-
-    needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    held = _marked(rows, needed)
-    if needed.count() > FILTER_BITS // 2:  # the filter lets too many texts through
-        held = held.join(needed, "doc_id", "left_semi")
-    held = scratch.write(held, "texts")
-    left, right = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-
-    def confirmed(some: DataFrame, name: str) -> DataFrame:
-        sides = some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return scratch.write(sides.mapInArrow(_confirm(percent, shingle), "a long, b long").distinct(), name)
-
-    ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("end"))
-    best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("hits"), "a", "b"))).where("rank <= 2")
-    links = confirmed(best.select("a", "b").distinct(), "best")
-    known = components(links, scratch)
-    of = lambda x: known.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = confirmed(rest, "rest")
+
+    def sketched(some: DataFrame) -> DataFrame:
+        some = scratch.write(some, "met")
+        return scratch.write(some.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_sketched, "a long, b long, hits int"), "pairs")
+
+    def linked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+        """The edges and the links among the pairs, without those inside a component."""
+        needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+        held = _marked(rows, needed)
+        if needed.count() > FILTER_BITS // 2:  # the filter lets too many texts through
+            held = held.join(needed, "doc_id", "left_semi")
+        held = scratch.write(held, "texts")
+        left, right = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+
+        def confirmed(some: DataFrame, name: str) -> DataFrame:
+            sides = some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+            return scratch.write(sides.mapInArrow(_confirm(percent, shingle), "a long, b long").distinct(), name)
+
+        ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("end"))
+        best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("hits"), "a", "b"))).where("rank <= 2")
+        known = components(confirmed(best.select("a", "b").distinct(), "best").union(edges), scratch)
+        of = lambda x: known.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+        rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        more = confirmed(rest, "rest")
+        scratch.drop(held)
+        return known.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
 
     typed = scratch.write(full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
     shared = typed.select("doc_id", "rep").distinct()
     shared = shared.join(shared.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    edges = known.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more).union(shared)
-    roots = components(edges, scratch).select(F.col("id").alias("rep"), "root")
+    edges = linked(sketched(met), shared)
+    roots = components(edges, scratch)
+    if not hot.isEmpty():
+        split = _blocks(hot, roots).repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        pairs = sketched(split.select("key", "lo", "hi", "block", "rep", "root", "n", "small").mapInArrow(_across(percent, matches), "a long, b long").distinct())
+        if not pairs.isEmpty():
+            roots = components(linked(pairs, edges), scratch)
+    roots = roots.select(F.col("id").alias("rep"), "root")
     grouped = typed.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     empty = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

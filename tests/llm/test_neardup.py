@@ -105,3 +105,30 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k != v}
+
+
+def _near(rng, words, changes):
+    x = list(words)
+    for i in rng.sample(range(len(x)), changes):
+        x[i] = f"n{rng.randrange(10**9)}"
+    return x
+
+
+def _same_as_brute(spark, docs, **limits):
+    frame = spark.createDataFrame([(i, t, "en", "clash", 1) for i, t in docs], SCHEMA)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark, frame, **limits).collect())
+    want = brute(docs, percent=limits.get("percent", 80))
+    assert got == want
+    return len({r[2] for r in want})
+
+
+def test_long_lists_of_templates(spark, monkeypatch):
+    """Documents that are less alike than wanted, with true pairs among them, in lists far longer than list_size."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)  # a list is several blocks
+    rng = random.Random(5)
+    core = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    docs = [" ".join(_near(rng, core, 3)) for _ in range(200)]
+    docs += [" ".join(_near(rng, docs[i].split(), 4)) for i in range(0, 200, 10)]
+    rng.shuffle(docs)
+    n = _same_as_brute(spark, list(enumerate(docs)), list_size=64)
+    assert 20 < n < len(docs)  # neither one group nor none
