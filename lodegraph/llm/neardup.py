@@ -1,12 +1,13 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
 Every document's set of word shingles gets a MinHash signature. Documents of equal sets become one class.
-Each class is posted under every coordinate-value pair of its signature; the postings, sorted by pair and
-then by the coordinates that follow, go to ranges that split a list of any length. Within a list the
-collisions of two signatures are counted on one byte a coordinate:
+Each class is posted under every coordinate-value pair of its signature. Lists of up to LIST postings go to
+one task each; the longer ones, sorted by pair and then by the coordinates that follow, go to ranges that
+split a list of any length. Within a list the collisions of two signatures are counted on one byte a coordinate:
 
 * a list of up to LIST postings compares all its pairs; a pair is reported from the first lists that both
-  share only (the later ones skip it), and its sizes must allow the wanted similarity;
+  share only (the later ones skip it: short or long, the first lists miss no pair that matters), and its
+  sizes must allow the wanted similarity;
 * a longer list first compares each posting with the LIST before it in the order of the next coordinates and
   reports the best ones. Members of a large group of near copies meet others in each of their lists, which
   connects the group without all its pairs. Once these links are confirmed and joined, the list compares all
@@ -308,8 +309,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     posted = posted.select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "rep", "n", "small", F.expr("substring(concat(small, small), at + 2, 8)").alias("sub"))
     heavy = scratch.write(posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size).select("key"), "heavy")
     hot = scratch.write(posted.join(heavy, "key"), "hot")
-    listed = posted.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep").select("key", "rep", "n", "small")
-    met = listed.mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").select("a", "b").distinct()
+    short = posted.join(heavy, "key", "left_anti").repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "rep")
+    listed = hot.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep")
+    met = [x.select("key", "rep", "n", "small").mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").select("a", "b") for x in (short, listed)]
+    met = met[0].union(met[1]).distinct()
     sketch = lambda x: classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}"))
 
     def sketched(some: DataFrame) -> DataFrame:

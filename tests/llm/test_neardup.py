@@ -132,3 +132,16 @@ def test_long_lists_of_templates(spark, monkeypatch):
     rng.shuffle(docs)
     n = _same_as_brute(spark, list(enumerate(docs)), list_size=64)
     assert 20 < n < len(docs)  # neither one group nor none
+
+
+def test_short_lists_are_whole(spark):
+    """Two near copies meet even if there are more partitions than postings of a list."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        docs = [(i, " ".join([*words, *[f"{i}v{k}" for k in range(40)]])) for i in (1, 2)]  # 0.59 alike, so orders differ
+        assert _same_as_brute(spark, docs, percent=50, matches=8) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
