@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-A text is cut into pieces of at most PIECE_CHARS characters without white space, short ones of one; K consecutive pieces are a
-k-mer. Equal k-mers are numbered by their occurrence in the text, so that repeats count. A hash deals the
+The pieces of a text are its words; a word of more than PIECE_CHARS characters gives all its runs of PIECE_CHARS
+characters, one from each place, so that an inserted character changes few of them. K consecutive pieces are a k-mer,
+whatever the length of the text; a text of fewer pieces is one k-mer. Equal k-mers are numbered by their occurrence in the text, so that repeats count. A hash deals the
 numbered k-mers into BINS; of each bin the TUPLE smallest are taken, put back into the order of the text and
 hashed together. Two texts agree in a bin only if they have the same smallest k-mers in the same order, so
 moved text lowers the likeness as well as changed text does. Dealing one hash into bins takes the place of
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 PIECE_CHARS, K, BINS_LOG2, TUPLE = 8, 3, 6, 2
-#: Texts of fewer code points are cut into single characters.
-SHORT = 64
+#: A piece is group 1: a short word as a whole, or the run from one place of a long word.
+_PIECE = f"(?=(\\\\S{{1,{PIECE_CHARS}}}+))(?:(?<!\\\\S)\\\\S{{1,{PIECE_CHARS}}}+(?!\\\\S)|\\\\S(?=\\\\S{{{PIECE_CHARS - 1}}}))"
 #: Rows of one range of ids, about; the number of ranges has a limit since their bounds go to all tasks.
 RANGE_ROWS, MAX_RANGES = 1000, 4096
 _POS = 28  # bits of a place in the text
@@ -43,7 +44,7 @@ def codes(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     occurrence = f"case when i = 0 then 0 when shiftright({p}[i - 1], {_POS}) <> {run} then 0 else i - {search} end"
     binned = f"transform({p}, (v, i) -> named_struct('h', xxhash64({run}, {occurrence}), 'p', v & {_LOW}L))"
-    df = df.withColumn(w, F.expr(f"transform(regexp_extract_all({text}, case when char_length({text}) < {SHORT} then '\\\\S' else '\\\\S{{1,{PIECE_CHARS}}}' end, 0), x -> xxhash64(x))"))
+    df = df.withColumn(w, F.expr(f"transform(regexp_extract_all({text}, '{_PIECE}', 1), x -> xxhash64(x))"))
     df = df.withColumn(k, F.expr(f"case when size({w}) >= {K} then transform(slice({w}, 1, size({w}) - {K - 1}), (x, i) -> xxhash64(x, {', '.join(f'{w}[i + {j}]' for j in range(1, K))})) when size({w}) > 0 then array(xxhash64({w})) else cast(array() as array<bigint>) end"))
     df = df.withColumn(p, F.expr(f"sort_array(transform({k}, (x, i) -> shiftleft(x, {_POS}) + i))"))
     df = df.withColumn(q, F.expr(f"sort_array(transform({binned}, e -> shiftleft(e.h & {(1 << BINS_LOG2) - 1}L, {_TOP}) + shiftleft(shiftrightunsigned(e.h, {BINS_LOG2}) & {(1 << (_TOP - _POS)) - 1}L, {_POS}) + e.p))"))

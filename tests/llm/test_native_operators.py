@@ -163,3 +163,14 @@ def test_trust_spreads_over_links(spark):
     pages = [(1, "http://good.org/fr/", link("friend.test")), (2, "http://bad.net/", ""), (3, "http://farm.test/", link("bad.net", "BAD.net", "bad.net")), (4, "http://friend.test/", link("other.test", "bad.net")), (5, "http://other.test/", None), (6, "http://alone.test/", "")]
     got = {r["page_id"]: r["verdict"] for r in url_filter.verdicts(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), threshold=0.0).collect()}
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_near_texts_are_alike_at_every_length(spark):
+    """Across 64 code points, and in words without white space at edit distance 1."""
+    words = "the cat sat on a mat by the old red door of my tiny house and ate"
+    rng = random.Random(4)
+    run = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(400))
+    frame = spark.createDataFrame([(1, words[:63], words[:64]), (2, run, run[:5] + "x" + run[5:]), (3, words[:20], words[40:60])], "doc_id long, a string, b string")
+    frame = order_minhash.codes(order_minhash.codes(frame, "a", "ca"), "b", "cb")
+    got = {r[0]: r[1] for r in frame.select("doc_id", order_minhash.likeness(frame["ca"], frame["cb"])).collect()}
+    assert got[1] > 0.5 and got[2] > 0.5 and got[3] < 0.2
