@@ -45,3 +45,11 @@ def test_contract_without_the_optional_parts(tmp_path):
     shutil.rmtree(tmp_path / "lodegraph/llm", ignore_errors=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.SQL))]
+
+
+def test_whole_edge_sets(con, spark, sf_dir):
+    """The queries over all edges say what those over a part of the edges can't."""
+    rows_of = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, sf_dir).collect()}
+    assert rows_of("j5_absent_edge_all") < rows_of("j5_absent_edge")
+    assert rows_of("r32_cross_package_all") > rows_of("r32_cross_package")
+    assert rows_of("r22_import_distance_edges") - rows_of("r22_import_distance")
