@@ -4,8 +4,10 @@ Each page becomes a small DOM tree. For every node the density is its characters
 characters and tags of links counted against it; a node's score is the sum of its children's densities.
 The subtree of the largest score is the core of the page. The least density on the path from the body to it
 is the threshold: subtrees of the body that reach it belong to the text as well, others don't. Parts whose
-tag, class, id or role says that they are not the article (menus, sidebars, notices, adverts, forms,
-comments) never do; a core inside an article or main element grows to that element.
+tag or role says that they are not the article (menus, adverts, forms) never do; a core inside an article or
+main element grows to that element. A class or id that says so is evidence only: the part is dropped unless it
+holds an article or main element or, on pages whose articles are all in such parts or that have none, the
+core of the whole tree or most of the body's text. Names of states (has-sidebar, fixed-header) say nothing.
 
 Blocks are in page order, white space inside a block is one space, blocks are joined by an empty line.
 Nulls: a null html is an empty page and gives the empty text. Repeated rows are done one by one, an empty
@@ -41,6 +43,8 @@ NAMES = frozenset(
     "sidebar sidebars aside rail footer header masthead topbar toolbar comment comments respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations skip widget widgets form search copyright legal disclaimer tags tagcloud".split()
 )
+#: First words of names that tell a state of the element.
+STATES = frozenset("has no not with without fixed is".split())
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I | re.S)
@@ -48,16 +52,16 @@ _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "score", "named")
 
     def __init__(self, tag: str, parent: "Node | None") -> None:
-        self.tag, self.parent, self.kids = tag, parent, []
+        self.tag, self.parent, self.kids, self.named = tag, parent, [], False
         if parent is not None:
             parent.kids.append(self)
 
 
 def _is_other(tag: str, attributes: str, stack: list[Node]) -> bool:
-    """Not of the article by its element, role, class or id. A header inside an article is its own."""
+    """Not of the article by its element or role. A header inside an article is its own."""
     if tag in DROPPED:
         return True
     if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
@@ -72,11 +76,22 @@ def _is_other(tag: str, attributes: str, stack: list[Node]) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = [p.lower() for p in _NAME_PARTS.split(word) if p]
-                if parts and (parts[0] in NAMES or parts[-1] in NAMES):
-                    return True
+    return False
+
+
+def _is_named(tag: str, attributes: str, stack: list[Node]) -> bool:
+    """Whether the class or id names a part that isn't of the article."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    inside = any(n.tag in ("article", "main") for n in stack)
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in ("class", "id") or m.start() and not attributes[m.start() - 1].isspace() and attributes[m.start() - 1] not in "\"'/":
+            continue
+        for word in value.split():
+            parts = [p.lower() for p in _NAME_PARTS.split(word) if p]
+            if parts and parts[0] not in STATES and any(p in NAMES and not (inside and p == "header") for p in (parts[0], parts[-1])):
+                return True
     return False
 
 
@@ -177,7 +192,9 @@ def parse(page: str) -> Node:
             if not (own and tag in ("svg", "math")):
                 skip.append(tag)
             continue
-        stack.append(Node(tag, stack[-1]))
+        node = Node(tag, stack[-1])
+        node.named = _is_named(tag, attributes, stack)
+        stack.append(node)
     return root
 
 
@@ -231,8 +248,35 @@ def weigh(root: Node) -> None:
         n.score = sum(k.density for k in n.kids if k.tag)
 
 
+def _drop_named(root: Node) -> None:
+    """Takes out the parts that names tell from the article, but for those that the weighed tree speaks for."""
+    nodes = [n for n in _order(root) if n.tag]
+    if not any(n.named for n in nodes):
+        return
+    weigh(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    kept, under, plain = set(), set(), False  # under: in a named part
+    for n in nodes:
+        if n.named or n.parent in under:
+            under.add(n)
+        if n.tag in ("article", "main"):
+            plain = plain or n not in under and n.chars > 0
+            while n is not None and n not in kept:
+                kept.add(n)
+                n = n.parent
+    if not plain:
+        n = max((n for n in _order(body) if n.tag), key=lambda n: n.score)
+        while n is not None:
+            kept.add(n)
+            n = n.parent
+        kept.update(n for n in nodes if 2 * n.chars > body.chars)
+    for n in nodes:
+        n.kids = [k for k in n.kids if not k.tag or not k.named or k in kept]
+
+
 def core(root: Node) -> list[Node]:
     """The subtrees of the text, in page order."""
+    _drop_named(root)
     weigh(root)
     nodes = [n for n in _order(root) if n.tag]
     body = next((n for n in nodes if n.tag == "body"), root)

@@ -107,3 +107,17 @@ def test_escapes():
     for t in ["", "\\", "\\\\n", "<|", "<\\|im_end|>", "<|im_end|><|im_start|>assistant ok", "a\n<"]:
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
         assert chat.parse("".join(chat.segment(t, t))) == (t, t)
+
+
+WORDS = LONG[3:-4]
+NAMED = [
+    (f"<div class='layout has-sidebar'>{LONG * 3}</div>", [WORDS] * 3),
+    (f"<div class='fixed-header'><article><header class='entry-header'><h1>T</h1></header>{LONG}</article></div>", ["T", WORDS]),
+    (f"<body><div id=widget-page><main>{LONG * 2}</main></div><div class=sidebar>x y</div></body>", [WORDS] * 2),
+    (f"<body><div class=content-widget>{LONG * 3}</div><div class=sidebar><p>x</p></div></body>", [WORDS] * 3),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), NAMED)
+def test_names_are_evidence_only(page, want):
+    assert main_text(page) == "\n\n".join(want)
