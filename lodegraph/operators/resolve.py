@@ -1,4 +1,4 @@
-"""Name resolution: distances, ancestors, providers and overrides."""
+"""Name resolution: distances, ancestors and providers."""
 
 from __future__ import annotations
 
