@@ -1,20 +1,24 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
 Every document's set of word shingles gets a MinHash signature. Documents of equal sets become one class.
-Each class is posted under every coordinate-value pair of its signature. Lists of up to LIST postings go to
-one task each; the longer ones, sorted by pair and then by the coordinates that follow, go to ranges that
-split a list of any length. Within a list the collisions of two signatures are counted on one byte a coordinate:
-
-* a list of up to LIST postings compares all its pairs; a pair is reported from the first lists that both
-  share only (the later ones skip it: short or long, the first lists miss no pair that matters), and its
-  sizes must allow the wanted similarity;
-* a longer list first compares each posting with the LIST before it in the order of the next coordinates and
-  reports the best ones. Members of a large group of near copies meet others in each of their lists, which
-  connects the group without all its pairs. Once these links are confirmed and joined, the list compares all
-  pairs that still lie between two components, in blocks: no other pair can change the result.
-
-Pairs with too few collisions fall away, then those whose wider sketches agree too seldom; the others are confirmed on the full sets, first the best ones of
-each document and then all those that still lie between two components. Links join into components.
+Each class is posted under the coordinate-value pairs of its signature. Within a list the collisions of two
+signatures are counted on one byte a coordinate, and pairs with fewer than MATCHES fall away:
+
+* Lists of up to LIST postings are short. Each is one task's, which compares all its pairs; a pair that REPORTS
+  earlier short lists of both have reported is skipped.
+* A pair that no short list shows has all its MATCHES collisions in long lists. So a class that has fewer long
+  lists than that is done; any other is posted in its rarest ones only, all but MATCHES - 1: two such classes
+  share one of these (prefix filter). Text that many documents share makes long lists, but few documents
+  have MATCHES of them. Such a list, sorted by the following coordinates, lies in ranges of any number; each
+  posting first reports its best neighbours, which connects groups of near copies without all their pairs.
+  Once these links are confirmed and joined, all pairs of the list that still lie between two components are
+  compared in blocks of bounded size, by sketches and then on the full sets, within the block's task: what
+  leaves it are the links that join components, not the pairs.
+
+Pairs of short lists and neighbours fall away if their wider sketches agree too seldom; the others are confirmed
+on the full sets, first the best ones of each document and then all those that still lie between two components.
+Links join into components. Work within a long list is the square of the postings that lie outside of its
+largest component, and these by that component; every comparison is a few vector operations in a task.
 
 Nulls: a null text is empty; an empty set is linked with nothing. Documents that share a doc_id are one
 node; a null doc_id is a node too. Each row keeps its place in the result; an empty table gives no rows.
@@ -41,9 +45,9 @@ SKETCH, SKETCH_MATCHES = 128, 78
 LIST = 256
 NEIGHBOURS = 2
 #: Postings of one block of a long list, about.
-BLOCK = 512
-#: Lists that may report the same pair: one of them could agree on its byte by chance.
-REPORTS = 3
+BLOCK = 1024
+#: Lists that may report the same pair: a few of them could agree on their bytes by chance.
+REPORTS = 4
 SHINGLE = 4
 SIMILARITY = 80  # percent
 NO_ID = -(1 << 63)
@@ -110,138 +114,211 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SET.split(", ")])
 
 
-def _pairs(percent: int, matches: int, list_size: int) -> object:
-    """Reports the pairs of postings (key, sub, id, n, small), which come sorted."""
+def _bits(mask: np.ndarray) -> np.ndarray:
+    return ((mask[:, None] >> np.arange(COORDINATES)) & 1).astype(bool)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(key, id, n, small, mask) of postings."""
+    small = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return (*(batch.column(i).to_numpy().copy() for i in range(3)), small, batch.column(4).to_numpy().copy())
+
+
+def _record(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    rows = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["a", "b"])
 
-    def found(key: np.ndarray, ident: np.ndarray, n: np.ndarray, small: np.ndarray, size: np.ndarray, from_: int) -> pa.RecordBatch | None:
-        a, b, est = [], [], []
-        long_ = size > list_size
-        best = np.full((NEIGHBOURS, len(key)), -1, np.int64)  # of long lists: hits << 32 | partner, the best first
-        for d in range(1, list_size):
-            i = np.arange(max(d, from_), len(key))
-            i = i[key[i] == key[i - d]]
-            if not len(i):
+
+def _near(rows: tuple[np.ndarray, ...], i: np.ndarray, d: int, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the postings i and those d before them, in the same list: (i, i - d, agreement by coordinate) with enough collisions."""
+    key, ident, n, small, _ = rows
+    i = i[key[i] == key[i - d]]
+    j = i - d
+    ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (ident[i] != ident[j])
+    i, j = i[ok], j[ok]
+    same = small[i] == small[j]
+    ok = same.sum(1) >= matches
+    return i[ok], j[ok], same[ok]
+
+
+def _whole(percent: int, matches: int) -> object:
+    """All pairs of the lists, which are short and come sorted by key. A pair that earlier short lists (mask) have reported is skipped."""
+
+    def found(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        key, ident, _, _, mask = rows
+        a, b = [ident[:0]], [ident[:0]]
+        for d in range(1, len(key)):
+            here = np.arange(d, len(key))
+            if not (key[here] == key[here - d]).any():
                 break
-            j = i - d
-            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (ident[i] != ident[j])
-            i, j = i[ok], j[ok]
-            same = small[i] == small[j]
-            hits = same.sum(1)
-            ok = hits >= matches
-            i, j, same, hits = i[ok], j[ok], same[ok], hits[ok]
-            out = long_[i]
-            now = (hits[out] << 32) | j[out]
-            for k in range(NEIGHBOURS):
-                had = best[k, i[out]]
-                best[k, i[out]], now = np.maximum(had, now), np.minimum(had, now)
-            i, j, same, hits = i[~out], j[~out], same[~out], hits[~out]
-            ok = (same & (np.arange(COORDINATES) < (key[i] >> 32)[:, None])).sum(1) < REPORTS
-            a.append(np.minimum(ident[i], ident[j])[ok])
-            b.append(np.maximum(ident[i], ident[j])[ok])
-            est.append(hits[ok])
-        for row in best:
-            i = np.flatnonzero(row >= 0)
-            j = row[i] & 0xFFFFFFFF
-            a.append(np.minimum(ident[i], ident[j]))
-            b.append(np.maximum(ident[i], ident[j]))
-            est.append(row[i] >> 32)
-        rows = np.unique(np.stack((np.concatenate(a), np.concatenate(b), np.concatenate(est))), axis=1)
-        if not rows.shape[1]:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["a", "b", "hits"])
+            i, j, same = _near(rows, here, d, percent, matches)
+            ok = (same & _bits(mask[i] & mask[j]) & (np.arange(COORDINATES) < (key[i] >> 32)[:, None])).sum(1) < REPORTS
+            a.append(ident[i[ok]])
+            b.append(ident[j[ok]])
+        return _record(np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        rows = done = 0  # done: rows at the front that have been compared with each other
-        hot = None  # the key of a list whose front has gone
-
-        def take(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows, done, hot
-            key, ident, n, small = (np.concatenate(x) for x in zip(*held, strict=True))
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.diff(np.append(edge, len(key)))
-            if hot is not None and key[0] == hot:
-                count[0] = max(count[0], list_size + 1)
-            size = np.repeat(count, np.diff(np.append(edge, len(key))))
-            keep = len(key) if last else int(edge[-1])
-            if not last and size[-1] > list_size:
-                got = found(key, ident, n, small, size, done)
-                at, hot = max(len(key) - (list_size - 1), int(edge[-1])), key[-1]
-                done = len(key) - at
-            else:
-                got = found(key[:keep], ident[:keep], n[:keep], small[:keep], size[:keep], done) if keep else None
-                if keep:
-                    done = 0
-                at = keep
-                hot = hot if at < len(key) and key[at] == hot else None
-            held, rows = [(key[at:], ident[at:], n[at:], small[at:])], len(key) - at
-            if got is not None:
-                yield got
+        for b in batches:
+            if b.num_rows:
+                held.append(_columns(b))
+                if sum(len(x[0]) for x in held) >= 1 << 15:
+                    rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on
+                    yield found(tuple(x[:at] for x in rows))
+                    held = [tuple(x[at:] for x in rows)]
+        if held:
+            yield found(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
 
+def _neighbours(percent: int, matches: int, window: int) -> object:
+    """The best pairs of each posting with the `window` before it in its list. Lists of any length come sorted by key and following coordinates."""
+
+    def found(rows: tuple[np.ndarray, ...], from_: int) -> pa.RecordBatch:
+        key, ident = rows[:2]
+        best = np.full((NEIGHBOURS, len(key)), -1, np.int64)  # hits << 32 | partner, the best first
+        for d in range(1, window):
+            here = np.arange(max(d, from_), len(key))
+            if not (key[here] == key[here - d]).any():
+                break
+            i, j, same = _near(rows, here, d, percent, matches)
+            now = (same.sum(1) << 32) | j
+            for k in range(NEIGHBOURS):
+                had = best[k, i]
+                best[k, i], now = np.maximum(had, now), np.minimum(had, now)
+        i = np.concatenate([np.flatnonzero(row >= 0) for row in best])
+        j = np.concatenate([row[row >= 0] & 0xFFFFFFFF for row in best])
+        return _record(ident[i], ident[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        done = 0  # rows at the front that have been compared
         for b in batches:
-            if not b.num_rows:
-                continue
-            bytes_ = b.column(3)
-            raw = np.frombuffer(bytes_.buffers()[2], np.uint8)
-            off = np.frombuffer(bytes_.buffers()[1], np.int32)[bytes_.offset]
-            small = raw[off : off + COORDINATES * len(b)].reshape(-1, COORDINATES).copy()
-            held.append((b.column(0).to_numpy().copy(), b.column(1).to_numpy().copy(), b.column(2).to_numpy().copy(), small))
-            rows += b.num_rows
-            if rows >= 1 << 15:
-                yield from take(False)
-        if rows:
-            yield from take(True)
+            if b.num_rows:
+                held.append(_columns(b))
+                if sum(len(x[0]) for x in held) - done >= 1 << 15:
+                    rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    yield found(rows, done)
+                    held = [tuple(x[1 - window :] for x in rows)]
+                    done = len(held[0][0])
+        if held:
+            yield found(tuple(np.concatenate(x) for x in zip(*held, strict=True)), done)
 
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, lo, hi), which come sorted."""
+    held: list[pa.RecordBatch] = []
+    of = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, lo, hi = (b.column(i).to_numpy() for i in range(3))
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        for f, e in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+            now = (key[f], lo[f], hi[f])
+            if of is not None and now != of:
+                yield pa.Table.from_batches(held)
+                held = []
+            of = now
+            held.append(b.slice(f, e - f))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _across(percent: int, matches: int) -> object:
-    """Reports the pairs of different roots of each group (key, lo, hi), between its blocks lo and hi. Groups come sorted."""
-
-    def met(key: int, same_block: bool, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
-        hits = np.zeros((len(x[0]), len(y[0])), np.uint8)
-        for p, q in zip(x[3].T, y[3].T, strict=True):
-            hits += p[:, None] == q[None, :]
-        i, j = np.nonzero(hits >= matches)
-        ok = (x[1][i] != y[1][j]) & (100 * np.minimum(x[2][i], y[2][j]) >= percent * np.maximum(x[2][i], y[2][j]))
-        if same_block:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        ok = (x[3][i] == y[3][j])[:, : key >> 32].sum(1) < REPORTS
-        a, b = x[0][i[ok]], y[0][j[ok]]
-        return np.stack((np.minimum(a, b), np.maximum(a, b)))
+    """What is left to compare of each group (key, lo, hi): its documents that may be linked across components, each once, with their partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-
-        def take(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
-            key, lo, hi, block, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
-            ends = np.append(edge[1:], len(key))
-            for f, e in zip(edge.tolist()[: None if last else -1], ends.tolist(), strict=False):
-                left, right = (np.flatnonzero(block[f:e] == side) + f for side in (lo[f], hi[f]))
-                if len(left) and len(right):
-                    got = met(int(key[f]), bool(lo[f] == hi[f]), tuple(c[left] for c in rest), tuple(c[right] for c in rest))
-                    if got.shape[1]:
-                        yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
-            at = len(key) if last else int(edge[-1])
-            held, rows = [tuple(c[at:] for c in (key, lo, hi, block, *rest))], len(key) - at
+        for g in _groups(batches):
+            key, lo, hi = (g.column(i)[0].as_py() for i in range(3))
+            block, rep, root, n, mask = (g.column(i).to_numpy() for i in (3, 4, 5, 6, 9))
+            small, wide = (np.frombuffer(b"".join(g.column(i).to_pylist()), np.uint8).reshape(len(rep), -1) for i in (7, 8))
+            x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            if not len(x) or not len(y):
+                continue
+            hits = np.zeros((len(x), len(y)), np.uint8)
+            for p, q in zip(small[x].T, small[y].T, strict=True):
+                hits += p[:, None] == q[None, :]
+            i, j = np.nonzero(hits >= matches)
+            i, j = x[i], y[j]
+            ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if lo == hi:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            most = np.zeros(len(i), np.int64)
+            for at in range(0, len(i), 1 << 16):  # agreement of the sketches, -1: in earlier lists
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                before = (small[p] == small[q])[:, : key >> 32] & _bits(mask[p] & mask[q])[:, : key >> 32]
+                most[at : at + (1 << 16)] = np.where(before.sum(1) < REPORTS, (wide[p] == wide[q]).sum(1), -1)
+            ok = most >= SKETCH_MATCHES
+            order = np.lexsort((-most[ok], i[ok]))
+            i, j = i[ok][order], j[ok][order]
+            docs = np.unique(np.concatenate((i, j)))
+            if len(docs):
+                size = np.bincount(np.searchsorted(docs, i), minlength=len(docs))
+                partners = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(rep[j]))
+                same = [pa.array(np.full(len(docs), v), t) for v, t in ((key, pa.int64()), (lo, pa.int32()), (hi, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(rep[docs]), pa.array(root[docs]), partners], names=["key", "lo", "hi", "rep", "root", "partners"])
+
+    return run
 
+
+def _shingled(shingle: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                small = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                held.append((*(b.column(i).to_numpy().copy() for i in range(7)), small))
-                rows += b.num_rows
-                if rows >= 1 << 14:
-                    yield from take(False)
-        if rows:
-            yield from take(True)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1), shingle)], pa.binary())], names=["rep", "shingles"])
 
     return run
 
 
+def _links(percent: int) -> object:
+    """The links among the partners of each group, on full sets; none between documents that the group's links join already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            rep, root, partners = (g.column(i).to_pylist() for i in (3, 4, 5))
+            of: dict[int, list[np.ndarray]] = {}
+            for r, s in zip(rep, g.column(6).to_pylist(), strict=True):
+                of.setdefault(r, []).append(np.frombuffer(s, np.uint64))
+            join = dict(zip(rep, root, strict=True))  # to the root, and from root to root
+            for r in root:
+                join.setdefault(r, r)
+
+            def top(r: int) -> int:
+                while join[r] != r:
+                    join[r] = join[join[r]]
+                    r = join[r]
+                return r
+
+            a, b = [], []
+            for r, others in {r: p for r, p in zip(rep, partners, strict=True) if p}.items():
+                for o in others:
+                    if top(r) != top(o) and any(_alike(x, y, percent) for x in of[r] for y in of[o]):
+                        join[top(r)] = top(o)
+                        a.append(r)
+                        b.append(o)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _blocks(hot: DataFrame, roots: DataFrame) -> DataFrame:
     """The postings of long lists that hold more than one component, once for each group of two blocks to compare.
 
@@ -254,8 +331,8 @@ def _blocks(hot: DataFrame, roots: DataFrame) -> DataFrame:
     block = F.expr("cast(if(root = main, others + pmod(xxhash64(rep), mains), pmod(xxhash64(rep), others)) as int)")
     placed = at.join(lists, "key").withColumn("block", block)
     to = F.explode(F.expr("sequence(0, if(root = main, others, others + mains) - 1)"))
-    placed = placed.select("key", "block", "rep", "root", "n", "small", to.alias("other"))
-    return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root", "n", "small")
+    placed = placed.select("key", "block", "rep", "root", "n", "small", "wide", "mask", to.alias("other"))
+    return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root", "n", "small", "wide", "mask")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +382,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     full = made.where("n_shingles > 0")
     classes = scratch.write(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("small").alias("small"), F.first("wide").alias("wide")), "classes")
 
-    posted = classes.select("rep", F.col("n_shingles").alias("n"), "small", F.posexplode("signature").alias("at", "value"))
-    posted = posted.select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "rep", "n", "small", F.expr("substring(concat(small, small), at + 2, 8)").alias("sub"))
-    heavy = scratch.write(posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size).select("key"), "heavy")
-    hot = scratch.write(posted.join(heavy, "key"), "hot")
-    short = posted.join(heavy, "key", "left_anti").repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "rep")
-    listed = hot.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep")
-    met = [x.select("key", "rep", "n", "small").mapInArrow(_pairs(percent, matches, list_size), "a long, b long, hits int").select("a", "b") for x in (short, listed)]
-    met = met[0].union(met[1]).distinct()
+    key = (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
+    bit = F.expr("shiftleft(1L, at)")
+    listed = classes.select("rep", F.posexplode("signature").alias("at", "value")).select(key, "rep", "at")
+    heavy = scratch.write(listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size), "heavy")
+    held = listed.join(heavy, "key").groupBy("rep").agg(F.bit_or(bit).alias("long"), F.sort_array(F.collect_list(F.struct("size", "key", "at"))).alias("lists"))  # 32 lists at most
+    held = scratch.write(held, "held")
+    posted = classes.join(held.select("rep", "long"), "rep", "left").select("rep", F.col("n_shingles").alias("n"), "small", F.bitwise_not(F.coalesce("long", F.lit(0).cast("long"))).alias("mask"), F.posexplode("signature").alias("at", "value"))
+    posted = posted.where(F.col("mask").bitwiseAND(bit) != 0).select(key, "rep", "n", "small", "mask")
+    posted = posted.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "rep")
+    first = held.where(F.size("lists") >= matches).select("rep", F.expr(f"slice(lists, 1, size(lists) - {matches - 1})").alias("lists"))
+    first = first.select("rep", F.expr("aggregate(lists, 0L, (m, x) -> m | shiftleft(1L, x.at))").alias("mask"), F.explode("lists").alias("of"))
+    hot = first.join(classes.select("rep", F.col("n_shingles").alias("n"), "small", "wide"), "rep").select(F.col("of.key").alias("key"), "rep", "n", "small", "wide", "mask", F.expr("substring(concat(small, small), of.at + 2, 8)").alias("sub"))
+    hot = scratch.write(hot, "hot")
+    ranged = hot.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep")
+    met = posted.mapInArrow(_whole(percent, matches), "a long, b long").union(ranged.select("key", "rep", "n", "small", "mask").mapInArrow(_neighbours(percent, matches, list_size), "a long, b long")).distinct()
     sketch = lambda x: classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}"))
 
     def sketched(some: DataFrame) -> DataFrame:
@@ -346,11 +430,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     shared = shared.join(shared.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     edges = linked(sketched(met), shared)
     roots = components(edges, scratch)
-    if not hot.isEmpty():
-        split = _blocks(hot, roots).repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        pairs = sketched(split.select("key", "lo", "hi", "block", "rep", "root", "n", "small").mapInArrow(_across(percent, matches), "a long, b long").distinct())
-        if not pairs.isEmpty():
-            roots = components(linked(pairs, edges), scratch)
+    # what long lists hold across components: sketches first, then full sets, each document's once a group
+    split = _blocks(hot, roots).repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    near = scratch.write(split.mapInArrow(_across(percent, matches), "key long, lo int, hi int, rep long, root long, partners array<long>"), "across")
+    needed = scratch.write(near.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    shingled = _marked(rows, needed).mapInArrow(_shingled(shingle), "rep long, shingles binary")
+    sides = near.join(shingled, "rep").select("key", "lo", "hi", "rep", "root", "partners", "shingles").repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = scratch.write(sides.mapInArrow(_links(percent), "a long, b long"), "links")
+    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), scratch)
     roots = roots.select(F.col("id").alias("rep"), "root")
     grouped = typed.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     empty = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -89,8 +89,8 @@ def test_long_lists_stream_in_parts():
     n = 90_000
     small = np.tile(np.arange(32, dtype=np.uint8), (n, 1))
     key = np.full(n, 5 << 32)
-    run = neardup._pairs(80, 14, 16)
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 1000]), pa.array(np.arange(i, min(n, i + 1000))), pa.array(np.full(1000, 50)), pa.array([r.tobytes() for r in small[i : i + 1000]], pa.binary())], names=["key", "rep", "n", "small"]) for i in range(0, n, 1000)]
+    run = neardup._neighbours(80, 14, 16)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 1000]), pa.array(np.arange(i, min(n, i + 1000))), pa.array(np.full(1000, 50)), pa.array([r.tobytes() for r in small[i : i + 1000]], pa.binary()), pa.array(np.full(1000, -1))], names=["key", "rep", "n", "small", "mask"]) for i in range(0, n, 1000)]
     got = pa.Table.from_batches(list(run(iter(batches))))
     assert set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) >= {(i - 1, i) for i in range(1, n)}
     assert got.num_rows <= 2 * n
@@ -145,3 +145,35 @@ def test_short_lists_are_whole(spark):
         assert _same_as_brute(spark, docs, percent=50, matches=8) == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_lists_at_production_parameters(spark):
+    """Most of each text is shared by more than LIST documents, so all its lists that matter are long; some pairs are alike."""
+    rng = random.Random(8)
+    core = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    docs = [" ".join([*core, *[f"u{i}x{k}" for k in range(60)]]) for i in range(300)]  # 0.54 alike
+    docs += [" ".join(_near(rng, docs[i].split(), 3)) for i in range(0, 300, 6)]
+    rng.shuffle(docs)
+    assert _same_as_brute(spark, list(enumerate(docs))) == 300
+
+
+def test_frequent_coordinates_dont_hide_rare_ones(spark):
+    """Two documents that share rare text, and a frequent passage with many others, are found in their short lists."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(30)]
+    docs = [" ".join([*passage, *[f"u{i}x{k}" for k in range(100)]]) for i in range(320)]
+    docs += [" ".join(_near(rng, docs[i].split(), 2)) for i in range(0, 320, 40)]
+    assert _same_as_brute(spark, list(enumerate(docs))) == 320
+
+
+def test_posted_pairs_are_skipped_after_short_lists_only():
+    """404 signatures share three coordinates; a pair with 18 collisions in all meets in lists of three postings."""
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 256, (404, 32)).astype(np.uint8)
+    sig[:, :3] = 7
+    sig[1, 3:18] = sig[0, 3:18]
+    mask = np.full(404, ~7)  # the first three lists are long
+    rows = [(3 << 32, i, 50, sig[i].tobytes(), int(mask[i])) for i in (0, 1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["key", "rep", "n", "small", "mask"])
+    got = pa.Table.from_batches(list(neardup._whole(80, 14)(iter([batch]))))
+    assert got.to_pylist() == [{"a": 0, "b": 1}]
