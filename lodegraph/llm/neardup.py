@@ -42,8 +42,9 @@ COORDINATES = 32
 MATCHES = 14
 #: Coordinates of the sketch that pairs are looked at with before their texts are, one byte each, and how many must agree.
 SKETCH, SKETCH_MATCHES = 128, 78
-LIST = 256
-NEIGHBOURS = 2
+LIST = 64
+#: Postings before each that a long list compares it with at first, and how many of them it reports.
+WINDOW, NEIGHBOURS = 256, 2
 #: Postings of one block of a long list, about.
 BLOCK = 1024
 #: Lists that may report the same pair: a few of them could agree on their bytes by chance.
@@ -396,7 +397,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     hot = first.join(classes.select("rep", F.col("n_shingles").alias("n"), "small", "wide"), "rep").select(F.col("of.key").alias("key"), "rep", "n", "small", "wide", "mask", F.expr("substring(concat(small, small), of.at + 2, 8)").alias("sub"))
     hot = scratch.write(hot, "hot")
     ranged = hot.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep")
-    met = posted.mapInArrow(_whole(percent, matches), "a long, b long").union(ranged.select("key", "rep", "n", "small", "mask").mapInArrow(_neighbours(percent, matches, list_size), "a long, b long")).distinct()
+    met = posted.mapInArrow(_whole(percent, matches), "a long, b long").union(ranged.select("key", "rep", "n", "small", "mask").mapInArrow(_neighbours(percent, matches, WINDOW), "a long, b long")).distinct()
     sketch = lambda x: classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}"))
 
     def sketched(some: DataFrame) -> DataFrame:
