@@ -328,9 +328,9 @@ def _blocks(hot: DataFrame, roots: DataFrame) -> DataFrame:
     at = hot.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     size = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_root"))
     lists = size.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.max("n_root").alias("n_main"), F.sum("n_root").alias("n_all")).where("n_all > n_main")
-    lists = lists.select("key", "main", F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"))
+    lists = lists.select(F.col("key").alias("list"), "main", F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"))
     block = F.expr("cast(if(root = main, others + pmod(xxhash64(rep), mains), pmod(xxhash64(rep), others)) as int)")
-    placed = at.join(lists, "key").withColumn("block", block)
+    placed = at.join(lists, F.col("key") == F.col("list")).withColumn("block", block)
     to = F.explode(F.expr("sequence(0, if(root = main, others, others + mains) - 1)"))
     placed = placed.select("key", "block", "rep", "root", "n", "small", "wide", "mask", to.alias("other"))
     return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root", "n", "small", "wide", "mask")
