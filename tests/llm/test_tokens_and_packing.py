@@ -84,20 +84,56 @@ def sequential_best_fit(lengths, capacity):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_best_fit_is_that_of_single_pieces(seed):
+def test_rounds_fill_as_best_fit_does(spark, seed):
+    """Ranges are kept apart, so pieces take gaps of other ranges as well."""
     rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, [65, 20, 64, 33, 5][seed], 400).tolist()
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    used, filled = set(), {}
-    for n, lo, hi, first, each, base in packing.best_fit(counts, 64):
-        for r in range(lo, hi):
-            s, o = first + (r - lo) // each, base + (r - lo) % each * n
-            used.add(s)
-            filled.setdefault(s, []).append((o, o + n))
-    assert len(used) == sequential_best_fit(lengths, 64)
+    lengths = [rng.integers(1, 65, 400), rng.integers(1, 20, 400), rng.integers(1, 64, 400), rng.integers(13, 33, 400), np.full(90, 21)][seed].tolist()
+    made = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(lengths)], packing.PIECE)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.pack(spark, Scratch(spark, "test").write(made, "made"), 64).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    filled = {}
+    for r in got:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["offset"] + r["length"]))
     for spans in filled.values():
         spans.sort()
         assert spans[0][0] == 0 and spans[-1][1] <= 64 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert len(filled) == sequential_best_fit(lengths, 64)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_carried_places_are_those_of_one_sweep(seed):
+    """Ranges swept apart and then joined give the pairs of one sweep over everything."""
+    rng = np.random.default_rng(seed)
+    kinds = rng.integers(0, 2, 60).tolist()  # 0: a place waits, 1: a piece
+    cuts = [0, *sorted(rng.integers(0, 61, 5).tolist()), 60]
+    stack, want = [], {}
+    for i, k in enumerate(kinds):
+        if not k:
+            stack.append(i)
+        elif stack:
+            want[i] = stack.pop()
+    got, alone, waits, sums = {}, {}, {}, []
+    for part, (f, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        stack, left = [], []
+        for i in range(f, e):
+            if not kinds[i]:
+                stack.append(i)
+            elif stack:
+                got[i] = stack.pop()
+            else:
+                left.append(i)
+        alone[part], waits[part] = left, stack
+        sums.append((part, len(left), len(stack)))
+    plan, count = packing.carried(sums)
+    for of, first, end, part, rank in plan:
+        for place in range(first, end):
+            got[alone[part][rank + end - 1 - place]] = waits[of][place]
+    assert got == want
+    assert sum(count.values()) == sum(e - f for _, f, e, _, _ in plan)
 
 
 def test_packing(spark):
