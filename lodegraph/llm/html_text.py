@@ -7,12 +7,14 @@ is the threshold: subtrees of the body that reach it belong to the text as well,
 tag or role says that they are not the article (menus, adverts, forms) never do; a core inside an article or
 main element grows to that element. A class or id that says so is evidence only: the part is dropped unless it
 holds an article or main element or, on pages whose articles are all in such parts or that have none, the
-core of the whole tree or most of the body's text. Names of states (has-sidebar, fixed-header) say nothing.
+core of the whole tree or most of the body's text. Names of states (has-sidebar, fixed-header) say nothing, nor do
+names with a word that is not of layout (social-science). Of equal scores the first node in page order is the core.
 
 Blocks are in page order, white space inside a block is one space, blocks are joined by an empty line.
 Nulls: a null html is an empty page and gives the empty text. Repeated rows are done one by one, an empty
 table gives no rows. Broken markup never fails: a tag that the page ends in is dropped, an open comment or
-script goes to the end of the page.
+script goes to the end of the page. The time is linear in the page, whatever its nesting; a page is one row and so
+has to fit a task. Columns besides page_id, url and html are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,13 +39,18 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 DROPPED = frozenset("head script style noscript nav footer aside form iframe template textarea select option button input label fieldset legend svg math object embed video audio canvas map dialog menu noembed noframes xmp title search".split())
-IMPLIED = {"li": ("li", frozenset("ul ol menu dir".split())), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr td th", frozenset("table tbody thead tfoot".split())), "td": ("td th", frozenset(["tr", "table"])), "th": ("td th", frozenset(["tr", "table"])), "option": ("option", frozenset(["select"]))}
+IMPLIED = {"li": (["li"], ["ul", "ol", "menu", "dir"]), "dt": (["dt", "dd"], ["dl"]), "dd": (["dt", "dd"], ["dl"]), "tr": (["tr", "td", "th"], ["table", "tbody", "thead", "tfoot"]), "td": (["td", "th"], ["tr", "table"]), "th": (["td", "th"], ["tr", "table"]), "option": (["option"], ["select"])}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination "
     "sidebar sidebars aside rail footer header masthead topbar toolbar comment comments respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations skip widget widgets form search copyright legal disclaimer tags tagcloud".split()
 )
+#: Words that go with these in a name without changing what it means.
+COMPANIONS = frozenset(
+    "area bar bars block body bottom box btn button buttons card cards center column col container content contents count cta desktop dropdown feed fixed full global group half heading holder icon icons image inline inner item items js layer layout left level "
+    "lightbox link links list lists main mobile nested new outer page pane panel permalink policy post posts primary right row secondary section sections site slot small stack sticky sub tab tabs thread title top unit user users view wide wrap wrapper entry article top".split()
+)
 #: First words of names that tell a state of the element.
 STATES = frozenset("has no not with without fixed is".split())
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
@@ -60,11 +68,44 @@ class Node:
             parent.kids.append(self)
 
 
-def _is_other(tag: str, attributes: str, stack: list[Node]) -> bool:
+class Open:
+    """The open elements, with the places of each tag, so that the nearest one is found at once at any depth."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        """Closes all elements from place `to` on."""
+        while len(self.nodes) > to:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def nearest(self, *tags: str) -> int:
+        """The place of the innermost one, 0 if there is none (0 is the root, which is never closed)."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close_inline(self, tag: str) -> None:
+        """Closes an element unless another block has begun in it."""
+        here = self.nearest(tag)
+        if here and self.blocks[-1] <= here:
+            self.cut(here)
+
+
+def _is_other(tag: str, attributes: str, inside: bool) -> bool:
     """Not of the article by its element or role. A header inside an article is its own."""
     if tag in DROPPED:
         return True
-    if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+    if tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
@@ -79,18 +120,18 @@ def _is_other(tag: str, attributes: str, stack: list[Node]) -> bool:
     return False
 
 
-def _is_named(tag: str, attributes: str, stack: list[Node]) -> bool:
-    """Whether the class or id names a part that isn't of the article."""
+def _is_named(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the class or id names a part that isn't of the article: by such a word alone or with words of layout, but
+    not with others (share-buttons does, social-science doesn't)."""
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    inside = any(n.tag in ("article", "main") for n in stack)
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name not in ("class", "id") or m.start() and not attributes[m.start() - 1].isspace() and attributes[m.start() - 1] not in "\"'/":
             continue
         for word in value.split():
             parts = [p.lower() for p in _NAME_PARTS.split(word) if p]
-            if parts and parts[0] not in STATES and any(p in NAMES and not (inside and p == "header") for p in (parts[0], parts[-1])):
+            if parts and parts[0] not in STATES and all(p in NAMES or p in COMPANIONS or len(p) == 1 for p in parts) and any(p in NAMES and not (inside and p == "header") for p in parts):
                 return True
     return False
 
@@ -98,14 +139,19 @@ def _is_named(tag: str, attributes: str, stack: list[Node]) -> bool:
 def parse(page: str) -> Node:
     """The tree of what may be of the article; text is in nodes of the tag ''."""
     root = Node("html", None)
-    stack = [root]
+    stack = Open()
+    stack.push(root)
     at, n = 0, len(page)
     skip: list[str] = []  # open elements of a part that is dropped
-    pending: str | None = None
+    skipped: Counter[str] = Counter()
 
     def text(value: str) -> None:
         if value and not skip:
-            Node("", stack[-1]).chars = html.unescape(value)
+            Node("", stack.nodes[-1]).chars = html.unescape(value)
+
+    def unskip() -> str:
+        skipped[skip[-1]] -= 1
+        return skip.pop()
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -137,21 +183,23 @@ def parse(page: str) -> Node:
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         if closing:
             if skip:
-                if tag in skip:
-                    while skip and skip.pop() != tag:
+                if skipped[tag]:
+                    while skip and unskip() != tag:
                         pass
                 elif tag in ("body", "html", "article", "main"):
                     skip.clear()
-                    closing_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                    if closing_at:
-                        del stack[closing_at:]
+                    skipped.clear()
+                    here = stack.nearest(tag)
+                    if here:
+                        stack.cut(here)
                 continue
             if tag == "br":
                 text(" ")
                 continue
-            here = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if here and (tag in BLOCKS or not any(x.tag in BLOCKS for x in stack[here + 1 :])):
-                del stack[here:]
+            if tag not in BLOCKS:
+                stack.close_inline(tag)
+            elif here := stack.nearest(tag):
+                stack.cut(here)
             continue
         own = attributes.rstrip().endswith("/")
         if skip:
@@ -159,55 +207,45 @@ def parse(page: str) -> Node:
                 at = _raw_end(page, at, tag)
             elif tag not in VOID:
                 if tag == skip[-1] and tag in ("li", "p", "option", "dt", "dd"):
-                    skip.pop()
+                    unskip()
                 skip.append(tag)
+                skipped[tag] += 1
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "hr", "img") and not (tag == "wbr"):
                 if tag == "hr":
-                    _close(stack, "p")
-                    Node("hr", stack[-1])
+                    stack.close_inline("p")
+                    Node("hr", stack.nodes[-1])
                 else:
                     text(" ")
             continue
         if tag in CLOSES_P:
-            _close(stack, "p")
+            stack.close_inline("p")
         if tag in IMPLIED:
-            closes, inside = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in inside:
+            closes, within = IMPLIED[tag]
+            while (here := stack.nearest(*closes)) > stack.nearest(*within):
+                stack.cut(here)
+                if tag != "tr":
                     break
-                if stack[i].tag in closes.split():
-                    del stack[i:]
-                    if tag != "tr":
-                        break
         if tag in RAW:
             at = _raw_end(page, at, tag)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and stack.at.get(tag):
             continue
         if tag == "body":
-            del stack[1:]
-        if _is_other(tag, attributes, stack):
+            stack.cut(1)
+        inside = stack.nearest("article", "main") > 0
+        if _is_other(tag, attributes, inside):
             if not (own and tag in ("svg", "math")):
                 skip.append(tag)
+                skipped[tag] += 1
             continue
-        node = Node(tag, stack[-1])
-        node.named = _is_named(tag, attributes, stack)
-        stack.append(node)
+        node = Node(tag, stack.nodes[-1])
+        node.named = _is_named(tag, attributes, inside)
+        stack.push(node)
     return root
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    """Closes an open paragraph, with what is inline in it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in BLOCKS:
-            return
-
-
 def _raw_end(page: str, at: int, tag: str) -> int:
     m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
     return m.end() if m else len(page)

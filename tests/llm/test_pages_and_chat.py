@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -121,3 +123,99 @@ NAMED = [
 @pytest.mark.parametrize(("page", "want"), NAMED)
 def test_names_are_evidence_only(page, want):
     assert main_text(page) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("name", ["social-science", "legal-text", "form-guide", "has-sidebar", "search-for-meaning"])
+@pytest.mark.parametrize("shell", ["<div class='%s'>%s</div>", "<article><p>One.</p><div id='%s'>%s</div></article>"])
+def test_names_with_other_words_drop_nothing(shell, name):
+    text = ["A long paragraph, with commas and words enough to be read. " * 4] * 3
+    page = "<html><body><ul class='menu'><li><a href='/'>Home</a></li></ul>" + shell % (name, "".join(f"<p>{t}</p>" for t in text)) + "</body></html>"
+    assert main_text(page).endswith("\n\n".join(t.strip() for t in text))
+
+
+def test_layout_words_go_with_names():
+    page = "<article><p>Text of the article, long enough.</p><div class='post-header'><h1>Title</h1></div><div class='share-buttons'>Share</div><div class='user-comments-section'>A comment</div></article>"
+    assert main_text(page) == "Text of the article, long enough.\n\nTitle"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</b>" * 60_000, "<ul>" + "<span>" * 30_000 + "<li></li>" * 30_000, "<nav>" + "<span>" * 30_000 + "</i>" * 60_000 + "</nav>", "<b '>x" * 100_001, "<" * 500_000, "<i>" * 60_000 + "<div></div>" * 60_000])
+def test_time_is_linear_in_the_page(page):
+    """A search of all open elements for each tag takes minutes here."""
+    began = time.perf_counter()
+    assert "end" in main_text(page + "</nav><p>end</p>")
+    assert time.perf_counter() - began < 10
+
+
+def _plain_density(tree):
+    """(characters, tags, link characters, link tags) of a tree (tag, kids), kids being trees or texts."""
+    tag, kids = tree
+    own = [len(k.strip()) for k in kids if isinstance(k, str)]
+    parts = [(k[0], _plain_density(k)) for k in kids if not isinstance(k, str)]
+    chars = sum(own) + sum(p[0] for _, p in parts)
+    return chars, sum(1 + p[1] for _, p in parts), chars if tag == "a" else sum(p[2] for _, p in parts), sum(p[3] + (t == "a") for t, p in parts)
+
+
+def _plain_text(body):
+    """The composite text density by direct recursion, on a tree without broken markup or named parts."""
+    total = _plain_density(body)
+    share = total[2] / total[0] if total[0] else 0.0
+
+    def density(t):
+        c, n, lc, ln = _plain_density(t)
+        if not c:
+            return 0.0
+        return c / (n or 1) * math.log(max(1.0, c / (lc or 1) * (n or 1) / (ln or 1))) / math.log(c / ((c - lc) or 1) * lc + share * c + math.e)
+
+    best = (-1.0, None)
+
+    def visit(t, path):
+        nonlocal best
+        score = sum(density(k) for k in t[1] if not isinstance(k, str))
+        if score > best[0]:
+            best = (score, [*path, t])
+        for k in t[1]:
+            if not isinstance(k, str):
+                visit(k, [*path, t])
+
+    visit(body, [])
+    path = best[1]
+    least = min(density(t) for t in path)
+    kept = body[1] if len(path) == 1 else [k for k in body[1] if isinstance(k, str) or k is path[1] or density(k) >= least]
+    out, line = [], ""
+
+    def end():
+        nonlocal line
+        if line.split():
+            out.append(" ".join(line.split()))
+        line = ""
+
+    def write(k):
+        nonlocal line
+        if isinstance(k, str):
+            line += k
+            return
+        if k[0] != "a":
+            end()
+        for x in k[1]:
+            write(x)
+        if k[0] != "a":
+            end()
+
+    for k in kept:
+        write(k)
+    end()
+    return "\n\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_density_like_direct_recursion(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        tag = rng.choice(["div", "div", "section", "ul"]) if depth else "p"
+        kids = [tree(depth - 1) for _ in range(rng.randrange(1, 5))] if depth else ["word " * rng.randrange(30), *([("a", ["link " * rng.randrange(1, 9)])] if rng.random() < 0.5 else []), rng.choice(["", "tail. "])]
+        return (tag, kids)
+
+    body = ("body", [tree(rng.randrange(3)) for _ in range(rng.randrange(1, 6))])
+    show = lambda t: t if isinstance(t, str) else f"<{t[0]}>{''.join(map(show, t[1]))}</{t[0]}>"
+    assert main_text(f"<html>{show(body)}</html>") == _plain_text(body)
