@@ -9,8 +9,10 @@ on these and decides on the loose candidates. The counts are one row for each pa
 number whatever the input; the executors work on expressions alone.
 
 Offsets are code points, ends exclusive. Nulls: a null text is an empty one. Repeated rows are done one by
-one, an empty table gives no rows. Patterns are written so that the regex engine neither recurses nor
-rescans: a separator inside a number, or a dot inside a domain, first becomes one private-use character.
+one, an empty table gives no rows; columns besides doc_id and text are ignored by digest() and kept by redact(), whatever
+they are called. Spans of one kind never overlap, so they have no ties. Patterns are written so that the regex engine neither recurses nor
+rescans, however long the text: a separator inside a number, or a dot inside a domain, first becomes one private-use
+character.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ BASE = ("email", "ip", "card", "phone")
 LOOSE = ("address", "account", "identity", "number")
 #: A candidate is added that is likelier than this to be personal data.
 ACCEPT = 0.5
-_MARK = ""
+#: A joined separator; a text that holds the character itself gets _OTHER in its place, which no pattern takes either.
+_MARK, _OTHER = "\ue000", "\ue001"
 _BLOCK = 256
 
 _EMAIL = f"(?:\\G|(?<![A-Za-z0-9._%+{_MARK}-]))[A-Za-z0-9._%+{_MARK}-]++@[A-Za-z0-9-]++{_MARK}[A-Za-z0-9{_MARK}-]++"
@@ -60,7 +63,7 @@ def _matches(df: DataFrame, text: str, pattern: str, name: str, where: str) -> D
     m, p, d, b, s = (f"_{x}_{name}" for x in "mpdbs")
     df = df.withColumn(m, F.expr(f"case when {where} then regexp_extract_all({text}, {_sql(pattern)}, 0) else cast(array() as array<string>) end"))
     df = df.withColumn(p, F.expr(f"case when size({m}) > 0 then split({text}, {_sql(pattern)}, -1) end"))
-    df = df.withColumn(d, F.expr(f"case when size({p}) = size({m}) + 1 then transform({m}, (x, i) -> cast(char_length({p}[i]) + if(i > 0, char_length({m}[i - 1]), 0) as bigint)) else cast(array() as array<bigint>) end"))
+    df = df.withColumn(d, F.expr(f"case when size({p}) = size({m}) + 1 then transform({m}, (x, i) -> cast(char_length({p}[i]) + if(i > 0, char_length({m}[i - 1]), 0) as bigint)) when size({m}) > 0 then raise_error('{name}: matches and what stands between them differ in number') else cast(array() as array<bigint>) end"))
     df = df.withColumn(b, F.expr(f"case when size({d}) > 0 then transform(sequence(0, (size({d}) - 1) div {_BLOCK}), j -> aggregate(slice({d}, cast(j * {_BLOCK} as int) + 1, {_BLOCK}), 0L, (a, x) -> a + x)) else cast(array() as array<bigint>) end"))
     block = f"cast(i div {_BLOCK} as int)"
     return df.withColumn(s, F.expr(f"case when size({b}) > 0 then transform({d}, (x, i) -> aggregate(slice({b}, 1, {block}), 0L, (a, y) -> a + y) + aggregate(slice({d}, {block} * {_BLOCK} + 1, i % {_BLOCK} + 1), 0L, (a, y) -> a + y)) else cast(array() as array<bigint>) end"))
@@ -83,7 +86,7 @@ def find(df: DataFrame) -> DataFrame:
     """Adds _base (spans that stay) and _loose (candidates) to rows with a column _text."""
     own = df.columns
     digits = "regexp_replace(x, '[^0-9]', '')"
-    df = df.withColumn("_plain", F.expr(f"case when contains(_text, '{_MARK}') then translate(_text, '{_MARK}', ' ') else _text end"))
+    df = df.withColumn("_plain", F.expr(f"case when contains(_text, '{_MARK}') then translate(_text, '{_MARK}', '{_OTHER}') else _text end"))
     df = df.withColumn("_mail", F.expr(f"case when contains(_text, '@') then regexp_replace(_plain, {_sql('(?<=[A-Za-z0-9-])[.](?=[A-Za-z0-9-])')}, '{_MARK}') else '' end"))
     df = df.withColumn("_nums", F.expr(f"regexp_replace(_plain, {_sql('(?<=[0-9])[ -](?=[0-9])')}, '{_MARK}')"))
     df = _matches(df, "_mail", _EMAIL, "email", "contains(_text, '@')")
@@ -178,8 +181,10 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with <kind> in place of every span, with all their columns; n_chars follows the text where it is a column."""
-    patterns = accepted(find(docs.select(F.coalesce("text", F.lit("")).alias("_text"))))
-    rows = find(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text")))
+    rows = find(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text"))).drop("_text")
+    rows = Scratch(spark, "personal").write(rows, "found")  # the patterns go over each text once
+    patterns = accepted(rows)
+    rows = rows.withColumn("_text", F.coalesce("_row.text", F.lit("")))
     rows = rows.withColumn("_cut", F.expr(f"array_sort(transform(concat(_base, {_taken(patterns)}), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"))
     joined = "aggregate(_cut, cast(array() as array<struct<s: bigint, e: bigint, kind: string>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).e > x.s then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind))) else concat(a, array(x)) end)"
     rows = rows.withColumn("_cut", F.expr(f"case when size(_cut) > 1 then {joined} else _cut end"))
