@@ -41,18 +41,21 @@ def _op9() -> str:
         f"u0 AS (SELECT page_id, html, coalesce({after}, '') AS a FROM pages)",
         f"u AS (SELECT page_id, html, {_lower % "regexp_extract(a, '^[^/?#]*')"} AS host, regexp_extract(substr(a, length(regexp_extract(a, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u0)",
         f"j AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule FROM u)",
-        f"l0 AS (SELECT host AS o, {_lower % "unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*[\"'']?\\s*[a-z][a-z0-9+.-]*://([^/?#\"''\\s>]+)', 1))"} AS t FROM u)",
+        f"l0 AS (SELECT host AS o, {_lower % "unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*[\"'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"''\\s>]+)', 1))"} AS t FROM u)",
         "l AS (SELECT o, t, count(*)::DOUBLE AS n FROM l0 WHERE o <> t AND o <> '' GROUP BY o, t)",
-        "f AS (SELECT o, t, n / sum(n) OVER (PARTITION BY o) AS s FROM l)",
-        "g AS (SELECT t AS o, o AS t, n / sum(n) OVER (PARTITION BY t) AS s FROM l)",
+        "h AS (SELECT string_split(host, '.') AS p FROM (SELECT host FROM j WHERE host <> '' UNION SELECT t FROM l))",
+        "a AS (SELECT DISTINCT array_to_string(p[i:], '.') AS o, array_to_string(p[i + 1:], '.') AS t FROM h, unnest(range(1, len(p) - 1)) r(i))",
+        "e AS (SELECT o, t, sum(n) AS n FROM (SELECT o, t, n FROM l UNION ALL SELECT o, t, 1.0::DOUBLE FROM a UNION ALL SELECT t, o, 1.0::DOUBLE FROM a) GROUP BY o, t)",
+        "f AS MATERIALIZED (SELECT o, t, n / sum(n) OVER (PARTITION BY o) AS s FROM e)",
+        "g AS MATERIALIZED (SELECT t AS o, o AS t, n / sum(n) OVER (PARTITION BY t) AS s FROM e)",
         "seeds AS (SELECT host, avg((by_rule IS NOT DISTINCT FROM 'allow')::INT) AS good, avg((by_rule IS NOT DISTINCT FROM 'block')::INT) AS bad FROM j WHERE host <> '' GROUP BY host)",
-        f"t0 AS (SELECT host, good * {1 - DAMPING} AS m FROM seeds WHERE good > 0)",
-        f"b0 AS (SELECT host, bad * {1 - DAMPING} AS m FROM seeds WHERE bad > 0)",
+        f"t0 AS MATERIALIZED (SELECT host, good * {1 - DAMPING} AS m FROM seeds WHERE good > 0)",
+        f"b0 AS MATERIALIZED (SELECT host, bad * {1 - DAMPING} AS m FROM seeds WHERE bad > 0)",
     ]
     for k in range(ROUNDS):
         for x, e in (("t", "f"), ("b", "g")):
-            ctes.append(f"{x}{k + 1} AS (SELECT host, sum(m) AS m FROM (SELECT host, m FROM {x}0 UNION ALL SELECT e.t, {DAMPING} * m * s FROM {x}{k} JOIN {e} e ON e.o = host) GROUP BY host)")
-    ctes.append(f"against AS (SELECT host FROM (SELECT host, m FROM b{ROUNDS} UNION ALL SELECT host, -m FROM t{ROUNDS}) GROUP BY host HAVING sum(m) > {THRESHOLD})")
+            ctes.append(f"{x}{k + 1} AS MATERIALIZED (SELECT host, sum(m) AS m FROM (SELECT host, m FROM {x}0 UNION ALL SELECT {e}.t, {DAMPING} * m * s FROM {x}{k} JOIN {e} ON {e}.o = host) GROUP BY host)")
+    ctes.append(f"against AS (SELECT host FROM (SELECT host, m FROM b{ROUNDS} UNION ALL SELECT host, -m FROM t{ROUNDS}) GROUP BY host HAVING round(sum(m), 9) > {THRESHOLD})")
     return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM against) THEN 'block' END, 'allow') AS verdict FROM j"
 
 
