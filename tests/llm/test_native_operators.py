@@ -6,7 +6,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+import xxhash
 
 from lodegraph.llm import order_minhash, personal_data, url_filter
 
@@ -129,6 +131,58 @@ def test_order_and_repeats_count(spark):
     assert len(code[1]) <= 1 << order_minhash.BINS_LOG2 and len({c >> 24 for c in code[1]}) == len(code[1])
 
 
+def hashed(*values):
+    """Spark's xxhash64: each value with the hash of those before it as the seed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True) if not isinstance(v, np.int32) else int(v).to_bytes(4, "little", signed=True), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_fingerprint(text):
+    """Order MinHash from the docstring, by loops."""
+    words = [w[i : i + 8] for w in re.findall(r"[^ \t\n\x0b\f\r]+", text) for i in range(max(1, len(w) - 7))]
+    pieces = [hashed(w) for w in words]
+    mers = [hashed(*pieces[i : i + 3]) for i in range(len(pieces) - 2)] or ([hashed(*pieces)] if pieces else [])
+    low = lambda m: ((m << 28) & ((1 << 64) - 1)) >> 28  # noqa: E731  36 bits
+    signed = lambda m: low(m) - (1 << 36) if low(m) >> 35 else low(m)
+    bins, seen = {}, {}
+    for i, m in enumerate(mers):
+        n = seen[low(m)] = seen.get(low(m), -1) + 1
+        h = hashed(signed(m), np.int32(n)) & ((1 << 64) - 1)
+        bins.setdefault(h & 63, []).append(((h >> 6) & ((1 << 29) - 1), i))
+    out = ""
+    for b in sorted(bins):
+        first = sorted(i for _, i in sorted(bins[b])[:2])
+        out += f"{(b << 24) + (hashed(*[mers[i] for i in first]) & 0xFFFFFF):08x}"
+    return out
+
+
+def plain_likeness(a, b):
+    a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
+    either = {x[:2] for x in a | b}
+    return len(a & b) / len(either) if either else 1.0
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_fingerprints_like_plain_loops(spark, monkeypatch, rows):
+    monkeypatch.setattr(order_minhash, "RANGE_ROWS", rows)
+    monkeypatch.setattr(order_minhash, "MAX_COARSE", 5)
+    rng = random.Random(7)
+    vocab = ["a", "be", "see", "extraordinary", "word", "naïve", "日本語テキストの長い文", "x"]
+    docs = [(rng.choice([-(1 << 63) + 1, i * 3, 1 << 62]) if i % 9 == 0 else 5 * i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 2, 3, 30, 200])))) for i in range(90)]
+    docs += [(None, f"null id {i}") for i in range(20)] + [(77, f"same id {i}") for i in range(20)] + [(4, None), (1 << 62, "z " * 3000)]
+    got = [r.asDict() for r in order_minhash.fingerprints(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    order = sorted(((i is not None, i or 0, hashed(t or ""), t or "") for i, t in docs))
+    want = []
+    for (has, i, _, t), (*_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        f, e, n = (plain_fingerprint(x) for x in (t, edited, nxt))
+        want.append({"doc_id": i if has else None, "n_chars": len(t), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": f, "edited_fingerprint": e, "near_edited": plain_likeness(f, e), "near_next": plain_likeness(f, n)})
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_repeated_and_missing_ids(spark):
     frame = spark.createDataFrame([(None, "a b c d e f g h"), (5, "one two three four"), (5, "one two three four"), (5, None)], "doc_id long, text string")
     assert len(order_minhash.fingerprints(spark, frame).collect()) == 4
