@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -50,8 +51,8 @@ def longest(w, items, window):
     return best
 
 
-@pytest.mark.parametrize(("seed", "block_bytes"), [(0, 1 << 20), (1, 60), (2, 200)])
-def test_like_brute_force(spark, seed, block_bytes):
+@pytest.mark.parametrize(("seed", "block_bytes", "pass_bytes"), [(0, 1 << 20, 1 << 20), (1, 60, 1), (2, 200, 500)])
+def test_like_brute_force(spark, seed, block_bytes, pass_bytes):
     rng = random.Random(seed)
     vocab = [*"abcde", "Xé", "7", "straße", "日本"]
     say = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", ",", "."]) for _ in range(n))
@@ -61,14 +62,16 @@ def test_like_brute_force(spark, seed, block_bytes):
     docs += [(40, items[2][1]), (41, docs[3][1]), (41, docs[3][1]), (42, None), (43, ""), (44, items[3][1].upper() + " z " + items[3][1]), (None, items[4][1]), (45, "zz " * 3000 + items[5][1])]
     frame = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in docs], SCHEMA)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    rows = d.digest(spark, frame, bench, window=4, shard_words=100, block_bytes=block_bytes).collect()
+    rows = d.digest(spark, frame, bench, window=4, shard_words=100, block_bytes=block_bytes, pass_bytes=pass_bytes).collect()
     assert len(rows) == len(docs)
     assert {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows} == set(brute(docs, items, 4))
     for r in rows:
         if r["contaminated"] and r["doc_id"] is not None and r["doc_id"] < 45:
             w = words(dict(docs)[r["doc_id"]])
             assert r["longest_match"] == longest(w, items, 4)
-    kept = d.clean(spark, frame, bench, window=4, shard_words=100)
+            there = w[r["longest_at"] : r["longest_at"] + r["longest_match"]]
+            assert any(there == words(t)[p : p + len(there)] for _, t in items for p in range(len(words(t))))
+    kept = d.clean(spark, frame, bench, window=4, shard_words=100, block_bytes=block_bytes, pass_bytes=pass_bytes)
     assert kept.columns == frame.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k[0] for k, in zip([(i,) for i, t in docs if not any(b[5] for b in brute([(i, t)], items, 4))]))
 
@@ -79,3 +82,18 @@ def test_empty_tables(spark):
     assert d.digest(spark, none, bench).collect() == []
     (row,) = d.digest(spark, spark.createDataFrame([(1, "a b c", "en", "", 0)], SCHEMA), bench).collect()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (3, 0, False)
+
+
+@pytest.mark.parametrize("unit", ["again", "one two", "a b c d e f g h i j k l m"])
+def test_repetition_costs_no_square(spark, unit):
+    """20,000 repeated words of an item in a document of as many; all pairs of places would be 400 million."""
+    text = " ".join([unit] * (20_000 // len(unit.split())))
+    docs = spark.createDataFrame([(1, text), (2, f"{text} x {text}"), (3, "other")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, text), (8, unit)], "item_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in d.digest(spark, docs, bench).collect()}
+    assert time.perf_counter() - began < 60
+    n = len(text.split())
+    assert (got[1]["n_hit"], got[1]["longest_match"], got[1]["longest_at"]) == (n, n, 0)
+    assert (got[2]["n_hit"], got[2]["longest_match"], got[2]["longest_at"]) == (2 * n, n, 0)
+    assert (got[3]["n_hit"], got[3]["longest_at"]) == (0, -1)
