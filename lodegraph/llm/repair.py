@@ -3,11 +3,13 @@
 A shard holds the ids of consecutive whole documents. Each round counts the adjacent id pairs of the shard,
 takes the frequent ones as new nonterminals and replaces their occurrences; where two occurrences overlap
 the more frequent pair wins, and in a run of one pair every second occurrence. Rounds repeat until no pair
-is frequent. A shard stores its rules (two symbols each), the rounds' ends, the expansion length of every
+is frequent, or until symbols fill 16 bits: a rule takes 8 bytes and each of its occurrences saves 2, so rarer pairs
+don't pay. A shard stores its rules (two symbols each), the rounds' ends, the expansion length of every
 rule and the final sequence, so any range of ids can be expanded without the rest.
 
 Nulls: a null text is an empty one (its ids are the end id alone); rows with a null doc_id come first.
-Repeated rows stay, in the order of doc_id and then of the text's hash. An empty table gives no rows.
+Repeated rows stay, in the order of doc_id and then of the text's hash. An empty table gives no rows. A shard ends with a
+whole document, so memory follows the longest one. Columns besides doc_id and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ from .tokens import encoder
 #: Ids of one shard, at least; the last document may go beyond.
 SHARD_TOKENS = 1 << 19
 #: A pair is frequent that occurs so often in its shard.
-MIN_COUNT = 48
-MAX_ROUNDS = 12
+MIN_COUNT = 8
 _HASH_BITS = 16
 
 SHARD = "part int, shard int, before long, n_tokens long, base int, doc_ids binary, doc_null binary, doc_tokens binary, rules binary, round_ends binary, exp_lengths binary, sequence binary"
@@ -65,7 +66,7 @@ def _frequent(seq: np.ndarray, pos: np.ndarray, min_count: int, most: int) -> tu
     return kinds[best], pos[rank >= 0], rank[rank >= 0]
 
 
-def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, max_rounds: int = MAX_ROUNDS, max_rules: int | None = None) -> Grammar:
+def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, max_rules: int | None = None) -> Grammar:
     """Rules and sequence; 16-bit symbols are enough for the public vocabularies with the default number of rules.
 
     After the first round only pairs with a new symbol, and those that were frequent before and lost a place
@@ -76,9 +77,7 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, max_rounds:
     seq, rules, ends = ids.astype(np.uint32), [], []
     pos = np.arange(len(seq) - 1) if len(seq) > 1 else np.zeros(0, np.int64)
     made = 0
-    for _ in range(max_rounds):
-        if not len(pos) or made >= max_rules:
-            break
+    while len(pos) and made < max_rules:
         kinds, at, own = _frequent(seq, pos, min_count, max_rules - made)
         if not len(kinds):
             break
@@ -165,7 +164,7 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarra
 
 
 def _narrow(a: np.ndarray) -> bytes:
-    """16 bits a symbol where they do, else 32; the reader tells by the size that n_tokens and the rules give."""
+    """16 bits a symbol where they do, else 32; the first byte tells the width."""
     wide = len(a) and int(a.max()) >= 1 << 16
     return (b"\x04" if wide else b"\x02") + a.astype("<u4" if wide else "<u2").tobytes()
 
@@ -227,8 +226,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scr
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. The tokens of the ranges before
     come from one row a range, which is why they can be broadcast."""
-    spark = shards.sparkSession
-    short_batches(spark)
     per_part = [(r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()]  # one row for each range
     starts, total = {}, 0
     for part, n in sorted(per_part):
@@ -236,7 +233,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
                 g = grammar(r)
                 flat = decode(g).astype("<u4")
                 n = np.frombuffer(r["doc_tokens"], "<i8")
