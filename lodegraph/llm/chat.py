@@ -14,7 +14,8 @@ mask, which is the text of an assistant's turn. A unit is a code point, or a tok
 
 Turns stand by turn, then role and text, nulls first. A null role or text is an empty one; rows with a null
 conv_id are one conversation; repeated rows are turns of their own. An empty table gives no rows. A
-conversation is one row and so has to fit a task; the number of conversations that share turns doesn't.
+conversation is one row and so has to fit a task; the number of conversations that share turns doesn't. Texts may be of
+any length within it. Columns besides conv_id, turn, role and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -86,6 +87,24 @@ def _units(parts: tuple[str, str, str], tokenizer_path: str | None) -> tuple[lis
     return n.tolist(), ids.tolist()
 
 
+def _intervals(way: list[int], lengths: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The stream intervals of the segments on the way down, those that adjoin as one; for each depth how many of them hold
+    what is above it, and where the last of these ends there."""
+    seen: list[tuple[int, int]] = []
+    above = []
+    for w, n in zip(way, lengths, strict=True):
+        above.append((len(seen), seen[-1][1] if seen else 0))
+        if seen and seen[-1][1] == w:
+            seen[-1] = (seen[-1][0], w + n)
+        else:
+            seen.append((w, w + n))
+    return seen, above
+
+
+#: Conversations that read a segment from one place; more read copies of it.
+SHARED = 20_000
+
+
 def tree(spark: SparkSession, conversations: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, paths): the stream, one row for each distinct segment in the order of `start`, and for each
     conversation the segments' starts on its way down the tree."""
@@ -148,11 +167,12 @@ def tree(spark: SparkSession, conversations: DataFrame, tokenizer_path: str | No
                 keep = min(shared, r["taken"])
                 way = [*above[:keep], *(p + shift for p in r["places"][keep:])]
                 skip = shared if r["seq"] == 0 else 0
+                seen, upto = _intervals(way, r["lengths"])
                 new = []
                 for s in r["segments"]:
                     if s["depth"] >= skip:
                         d = s["depth"]
-                        new.append(s | {"start": s["start"] + shift, "attends": [{"from": w, "to": w + n} for w, n in zip(way[:d], r["lengths"][:d], strict=True)]})
+                        new.append(s | {"start": s["start"] + shift, "attends": [{"from": f, "to": e if i + 1 < upto[d][0] else upto[d][1]} for i, (f, e) in enumerate(seen[: upto[d][0]])]})
                 out["conv_id"].append(r["conv_id"])
                 out["path"].append(way)
                 out["segments"].append(new)
@@ -174,7 +194,10 @@ READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, l
 def read_back(segments: DataFrame, paths: DataFrame) -> DataFrame:
     """The conversations again, from the stream of code points alone: each from the segments on its way down."""
     steps = paths.select("conv_id", F.posexplode("path").alias("depth", "start"))
-    lines = steps.join(segments.select("start", "text", "mask_from", "mask_to"), "start")
+    hot = steps.groupBy("start").agg(F.ceil(F.count(F.lit(1)) / SHARED).alias("copies")).where("copies > 1")  # one in SHARED steps at most
+    steps = steps.join(F.broadcast(hot), "start", "left").withColumn("copy", F.pmod(F.xxhash64("conv_id"), F.coalesce("copies", F.lit(1))))
+    copies = segments.select("start", "text", "mask_from", "mask_to").join(F.broadcast(hot), "start", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    lines = steps.drop("copies").join(copies, ["start", "copy"])
     whole = lines.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "mask_from", "mask_to"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,14 +89,24 @@ def test_stream_and_read_back(spark, seed):
             s = by_start[start]
             assert s["position"] == position and [tuple(x) for x in s["attends"]] == above
             position += s["length"]
-            above.append((start, start + s["length"]))
+            if above and above[-1][1] == start:  # what adjoins is one interval
+                above[-1] = (above[-1][0], start + s["length"])
+            else:
+                above.append((start, start + s["length"]))
     spans = {r["start"]: (r["start"], r["depth"]) for r in stream}
     last = {}
     for start, depth in sorted(spans.values()):  # depth-first: the parent is the last segment one level up
-        assert depth == 0 or [x["from"] for x in by_start[start]["attends"]][-1] == last[depth - 1]
+        assert depth == 0 or by_start[start]["attends"][-1]["to"] == last[depth - 1] + by_start[last[depth - 1]]["length"]
         last[depth] = start
 
 
+def test_shared_turns_are_read_from_copies(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SHARED", 7)
+    rows = table(3)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string")
+    assert {r["conv_id"]: tuple(r)[1:] for r in chat.read_back(*chat.tree(spark, frame)).collect()} == want(rows)
+
+
 def test_tokens_and_empty(spark):
     frame = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
     segments, _ = chat.tree(spark, frame, public_tokenizers.path("byte_bpe_50k.json"))
