@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, lower_map, mix, runs, spans
-from .common import Scratch, short_batches, texts
+from .common import Scratch, short_batches, slices, texts
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -294,8 +294,7 @@ def _scan(blocks: list, batches: Iterator[pa.RecordBatch], shard_words: int, lat
         return got, out
 
     for b in batches:
-        for at in range(0, b.num_rows, 128):
-            part = b.slice(at, 128)
+        for part in slices(b, b.schema.get_field_index("text")):
             row, h = _words(part.column(part.schema.get_field_index("text")).cast(pa.large_string()).fill_null(""))
             held.append(part)
             rows.append(row + n_rows)

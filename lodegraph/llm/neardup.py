@@ -21,7 +21,10 @@ Links join into components. Work within a long list is the square of the posting
 largest component, and these by that component; every comparison is a few vector operations in a task.
 
 Nulls: a null text is empty; an empty set is linked with nothing. Documents that share a doc_id are one
-node; a null doc_id is a node too. Each row keeps its place in the result; an empty table gives no rows.
+node; a null doc_id is a node too, below all others. Each row keeps its place in the result; an empty table gives no
+rows. Of a component the least doc_id stays, of its rows the one of the least text hash. Texts go in parts of bounded
+bytes, so memory follows the longest one. Columns besides doc_id and text are ignored by near_duplicates() and kept
+by one_of_each(), whatever they are called.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, lower_map, mix, words
-from .common import Scratch, short_batches, shuffle_parts, texts
+from .common import Scratch, short_batches, shuffle_parts, slices, texts
 from .graph import components
 
 COORDINATES = 32
@@ -98,8 +101,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 128):
-            part = b.slice(at, 128)
+        for part in slices(b, 1):
             made = sets(part.column(1), shingle)
             sig = np.zeros((len(made), SKETCH), np.uint32)
             key = np.zeros((2, len(made)), np.uint64)
@@ -271,8 +273,7 @@ def _across(percent: int, matches: int) -> object:
 def _shingled(shingle: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in slices(b, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1), shingle)], pa.binary())], names=["rep", "shingles"])
 
     return run

@@ -8,8 +8,9 @@ obfuscation: hits that show only once symbols inside words are dropped and digit
 Rows with crc32(doc_id as text) mod 5 = 0 are held out and never learned from; a null doc_id counts as the
 empty text, which is held out. Null texts are empty ones and get a score like any. Without both kinds of
 label the score is the share of toxic rows among the labelled ones (0 without labels). Labels that repeat
-for a doc_id count as toxic if one of them is; repeated documents are learned from once and scored one by
-one. An empty table gives no rows.
+for a doc_id count as toxic if one of them is; of several texts of a doc_id the least is learned from, and all are scored one
+by one. A score of one half is toxic. An empty table gives no rows. Rows go in parts of bounded bytes, so memory follows
+the longest text (about a hundred times its size); columns besides doc_id and text are ignored or kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, lower_map, runs, spans
-from .common import Scratch, short_batches, texts
+from .common import Scratch, short_batches, slices, texts
 
 #: Labelled rows that the classifier is fitted on, at most: those of the lowest hashes of doc_id.
 SAMPLE = 20_000
@@ -243,7 +244,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     scratch = Scratch(spark, "toxicity")
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     train = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = scratch.write(texts(docs).join(F.broadcast(train), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"), "sample")
+    rows = scratch.write(texts(docs).join(F.broadcast(train), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "sample")
     n = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -251,7 +252,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     def counted(only: np.ndarray | None) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (x for whole in batches for x in slices(whole, 0)):
                 data, off = buffers(b.column(0))
                 row, start, end = runs(data, off, _letters())
                 found = []
@@ -286,7 +287,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 0)):
             x = features(b.column(0), lexicon)
             yield pa.RecordBatch.from_arrays([pa.array((b.column(1).to_numpy() > 0).astype(np.int32)), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["toxic", *names])
 
@@ -310,7 +311,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(spark, docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)))], names=["doc_id", "score"])
 
     made = texts(docs).mapInArrow(run, SCORED)
@@ -322,7 +323,7 @@ def acceptable(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
     model = fit(spark, docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, whole.schema.get_field_index("text"))):
             text = b.column(b.schema.get_field_index("text")).cast(pa.string()).fill_null("")
             yield b.filter(pa.array(model.score(text) < 0.5))
 
