@@ -25,11 +25,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = tuple(now)
         both = cur.union(cur.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # used twice below, from one exchange
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         nxt = scratch.write(low.select("u", F.col("m").alias("v")).union(pairs.where("v <> m").select(F.col("v"), F.col("m"))).distinct(), "edges")
         scratch.drop(cur)
-        scratch.drop(large)
         cur = nxt

@@ -387,7 +387,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     key = (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     bit = F.expr("shiftleft(1L, at)")
     listed = classes.select("rep", F.posexplode("signature").alias("at", "value")).select(key, "rep", "at")
-    heavy = scratch.write(listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size), "heavy")
+    heavy = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size)
     held = listed.join(heavy, "key").groupBy("rep").agg(F.bit_or(bit).alias("long"), F.sort_array(F.collect_list(F.struct("size", "key", "at"))).alias("lists"))  # 32 lists at most
     held = scratch.write(held, "held")
     posted = classes.join(held.select("rep", "long"), "rep", "left").select("rep", F.col("n_shingles").alias("n"), "small", F.bitwise_not(F.coalesce("long", F.lit(0).cast("long"))).alias("mask"), F.posexplode("signature").alias("at", "value"))
@@ -402,7 +402,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     sketch = lambda x: classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}"))
 
     def sketched(some: DataFrame) -> DataFrame:
-        some = scratch.write(some, "met")
         return scratch.write(some.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "wide_a", "wide_b").mapInArrow(_sketched, "a long, b long, hits int"), "pairs")
 
     def linked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -414,16 +413,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
         held = scratch.write(held, "texts")
         left, right = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
-        def confirmed(some: DataFrame, name: str) -> DataFrame:
+        def confirmed(some: DataFrame) -> DataFrame:
             sides = some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-            return scratch.write(sides.mapInArrow(_confirm(percent, shingle), "a long, b long").distinct(), name)
+            return sides.mapInArrow(_confirm(percent, shingle), "a long, b long").distinct()
 
         ends = pairs.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("end"))
         best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("hits"), "a", "b"))).where("rank <= 2")
-        known = components(confirmed(best.select("a", "b").distinct(), "best").union(edges), scratch)
+        known = components(confirmed(best.select("a", "b").distinct()).union(edges), scratch)
         of = lambda x: known.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
         rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        more = confirmed(rest, "rest")
+        more = scratch.write(confirmed(rest), "rest")
         scratch.drop(held)
         return known.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
 
@@ -438,7 +437,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     needed = scratch.write(near.select(F.col("rep").alias("doc_id")).distinct(), "needed")
     shingled = _marked(rows, needed).mapInArrow(_shingled(shingle), "rep long, shingles binary")
     sides = near.join(shingled, "rep").select("key", "lo", "hi", "rep", "root", "partners", "shingles").repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = scratch.write(sides.mapInArrow(_links(percent), "a long, b long"), "links")
+    more = sides.mapInArrow(_links(percent), "a long, b long")
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), scratch)
     roots = roots.select(F.col("id").alias("rep"), "root")
     grouped = typed.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))

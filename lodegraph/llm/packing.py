@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
 
 
 SWEPT = "what int, part int, rank long, pid long, sid long, size long, until long"
-_PAIR, _PIECE, _GAP, _SUM = range(4)
+_PAIR, _PIECE, _GAP, _FULL, _SUM = range(5)
 
 
 def places(gap: int, longest: int) -> int:
@@ -83,7 +83,8 @@ def places(gap: int, longest: int) -> int:
 
 
 def _sweep(longest: int) -> object:
-    """Rows (down, is_piece, id), sorted: pairs (pid, sid, size), then what is left of the range and how much of it."""
+    """Rows (down, is_piece, id), sorted: pairs (pid, sid, size), then what is left of the range and how much of it. Every gap comes
+    back once with the size that it had, as one with no place left (_FULL) or with its places (_GAP)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack, alone = TaskContext.get().partitionId(), [], 0
@@ -93,20 +94,21 @@ def _sweep(longest: int) -> object:
             return pa.RecordBatch.from_arrays([pa.array([what] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int32()), *columns], names=[c.split()[0] for c in SWEPT.split(", ")])
 
         for b in batches:
-            pairs, left = [], []
+            pairs, left, full = [], [], []
             for down, is_piece, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if not is_piece:
-                    stack.append([i, -down, places(-down, longest)])
+                    stack.append([i, -down, places(-down, longest)])  # those too small come after all pieces
                 elif stack:
                     top = stack[-1]
                     pairs.append((0, i, top[0], -down, 0))
                     top[2] -= 1
                     if not top[2]:
+                        full.append((0, 0, top[0], top[1], 0))
                         stack.pop()
                 else:
                     left.append((alone, i, 0, -down, 0))
                     alone += 1
-            yield from (made(w, rows) for w, rows in ((_PAIR, pairs), (_PIECE, left)) if rows)
+            yield from (made(w, rows) for w, rows in ((_PAIR, pairs), (_PIECE, left), (_FULL, full)) if rows)
         waiting, rows = 0, []
         for sid, gap, n in stack:
             rows.append((waiting, 0, sid, gap, waiting + n))
@@ -142,11 +144,12 @@ def carried(sums: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int,
     return out, got
 
 
-def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, shortest: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """left (pid, length), gaps (sid, gap) to (pairs (pid, sid, length), what is left, the gaps after it)."""
+def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """left (pid, length), gaps (sid, gap) to (pairs (pid, sid, length), what is left, the gaps after it). Only the sweep is
+    written; the rest follows from its rows."""
     spark = left.sparkSession
     rows = left.select((-F.col("length")).alias("down"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"))
-    rows = rows.union(gaps.where(F.col("gap") >= shortest).select(-F.col("gap"), F.lit(False), F.col("sid")))
+    rows = rows.union(gaps.select(-F.col("gap"), F.lit(False), F.col("sid")))
     order = ["down", "is_piece", "id"]
     swept = scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(longest), SWEPT), "swept")
     sums = sorted((r["part"], r["rank"], r["until"]) for r in swept.where(F.col("what") == _SUM).collect())  # one row a task
@@ -159,12 +162,13 @@ def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, shortest: int, lo
         waits = swept.where(F.col("what") == _GAP).select("part", "sid", F.col("rank").alias("from"), "until").join(F.broadcast(links), "part")
         waits = waits.withColumn("lo", F.greatest("from", "first")).withColumn("hi", F.least("until", "end")).where("lo < hi")
         taken = waits.select("sid", F.col("to_part").alias("part"), "end", "to_rank", F.explode(F.expr("sequence(lo, hi - 1)")).alias("place"))
-        taken = taken.select("sid", "part", (F.col("to_rank") + F.col("end") - 1 - F.col("place")).alias("rank"))
-        pairs = scratch.write(pairs.union(alone.join(taken.withColumnRenamed("sid", "of"), ["part", "rank"]).select("pid", F.col("of").alias("sid"), F.col("size").alias("length"))), "pairs")
+        taken = taken.select(F.col("sid").alias("of"), "part", (F.col("to_rank") + F.col("end") - 1 - F.col("place")).alias("rank"))
+        pairs = pairs.union(alone.join(taken, ["part", "rank"]).select("pid", F.col("of").alias("sid"), F.col("size").alias("length")))
         count = spark.createDataFrame(list(got.items()), "part int, got long")
         after = alone.join(F.broadcast(count), "part").where("rank >= got")
-    shrunk = gaps.union(pairs.select("sid", -F.col("length"))).groupBy("sid").agg(F.sum("gap").alias("gap")).where("gap > 0")
-    return pairs, after.select("pid", F.col("size").alias("length")), scratch.write(shrunk, "gaps")
+    held = swept.where(F.col("what").isin(_GAP, _FULL)).select("sid", F.col("size").alias("gap"))
+    shrunk = held.union(pairs.select("sid", -F.col("length"))).groupBy("sid").agg(F.sum("gap").alias("gap")).where("gap > 0")
+    return pairs, after.select("pid", F.col("size").alias("length")), shrunk
 
 
 def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -187,8 +191,7 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> Data
                 more = max(1, total // capacity)
                 gaps = gaps.union(spark.range(n_new + 1, n_new + 1 + more).select((-F.col("id")).alias("sid"), F.lit(capacity).cast("long").alias("gap")))
                 n_new += more
-            before, (pairs, left, gaps) = gaps, _round(scratch, left, gaps, shortest, longest)
-            scratch.drop(before)
+            pairs, left, gaps = _round(scratch, left, gaps, longest)
             placed.append(pairs.select("pid", "sid", "length", F.lit(len(placed)).alias("round")))
             stats = left.select("length", F.lit(0).cast("long").alias("gap")).union(gaps.select(F.lit(None).cast("long"), "gap"))
             n, total, shortest, longest, widest = stats.agg(F.count("length"), F.sum("length"), F.min("length"), F.max("length"), F.coalesce(F.max("gap"), F.lit(0))).first()
