@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.fixpoint import reverse, shortest_paths
 
 ON_STACK, CALLER, FLOW = 0.3, 0.4, 0.6
 MAX_DEPTH, LIMIT = 3, 10
-_HEADERS = ("Traceback (most recent call last):", "Exception Group Traceback (most recent call last):")
-_FRAME = re.compile(r'^\s*File "([^"]+)", line (\d+), in (.+)$')
-_RAISED = re.compile(r"^([^\W\d][\w.]*)(?::\s?(.*))?$")
-_MARGIN = re.compile(r"^\s*(?:\+-)?[+|]\s?")
-
-
-def parse_traceback(text: str) -> tuple[list[tuple[str, int, str]], str, str]:
-    """(frames outermost first as path, line, name; exception; message) of the last section, which is the one that went through."""
-    lines = [_MARGIN.sub("", x) for x in text.splitlines() if x.strip()]
-    start = max((i for i, x in enumerate(lines) if x.strip() in _HEADERS), default=-1)
-    frames, kind, message = [], "", ""
-    for line in lines[start + 1 :]:
-        if m := _FRAME.match(line):
-            frames.append((m[1], int(m[2]), m[3].strip()))
-        elif not line[:1].isspace() and (m := _RAISED.match(line)):
-            kind, message = m[1], m[2] or ""
-            break
-    return frames, kind, message
+
+
+def _after(value: Column, mark: str) -> Column:
+    """What stands after the first mark."""
+    return F.substring(value, F.instr(value, mark) + len(mark), F.length(value))
+
+
+def _plain_lines(text: Column) -> Column:
+    """Lines without the bars that frame the members of a group, blank ones left out."""
+    framed = lambda x: F.ltrim(x).startswith("| ") | F.ltrim(x).startswith("+ ")
+    line = lambda x: F.when(framed(x), F.substring(F.ltrim(x), 3, 1 << 20)).when(F.ltrim(x).startswith("+-") | (F.trim(x) == "|"), "").otherwise(x)
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), line), lambda x: F.trim(x) != "")
+
+
+def parse_tracebacks(reports: DataFrame) -> DataFrame:
+    """reports (…, text) with frames (array of path, line, name, the outermost first), exception and message.
+
+    A chained report has several sections, each under a line that ends in "Traceback (most recent call last):"; the last one went
+    through. Its frames are the lines File "path", line n, in name; the first line after them that isn't indented tells the
+    exception, and after a colon the message. A text without a section is searched from its beginning.
+    """
+    rows = reports.withColumn("_lines", _plain_lines(F.coalesce("text", F.lit(""))))
+    heads = F.transform("_lines", lambda x, i: F.when(F.rtrim(x).endswith("Traceback (most recent call last):"), i + 1).otherwise(0))
+    rows = rows.withColumn("_begin", F.coalesce(F.array_max(heads), F.lit(0)))
+    rows = rows.withColumn("_part", F.slice("_lines", F.col("_begin") + 1, F.greatest(F.size("_lines"), F.lit(1))))
+    ends = F.filter(F.transform("_part", lambda x, i: F.when(x.rlike("^[^ \\t:]*[^ \\t:.](:|$)") & x.rlike("^[_\\p{L}]"), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_end", F.get(ends, F.lit(0)))
+    above = F.slice("_part", 1, F.coalesce(F.col("_end"), F.size("_part")))
+    is_frame = lambda x: F.ltrim(x).startswith('File "') & x.contains('", line ') & x.contains(", in ")
+
+    def frame(x: Column) -> Column:
+        rest = _after(x, '", line ')
+        path = F.substring_index(_after(x, 'File "'), '", line ', 1)
+        return F.struct(path.alias("path"), F.substring_index(rest, ",", 1).cast("int").alias("line"), F.trim(_after(rest, ", in ")).alias("name"))
+
+    last = F.coalesce(F.get("_part", F.col("_end")), F.lit(""))
+    message = F.when(last.contains(":"), F.regexp_replace(_after(last, ":"), "^ ", "")).otherwise("")
+    return rows.select(*reports.columns, F.transform(F.filter(above, is_frame), frame).alias("frames"), F.substring_index(last, ":", 1).alias("exception"), message.alias("message"))
 
 
 def surroundings(names: DataFrame, calls: DataFrame, flows: DataFrame) -> DataFrame:

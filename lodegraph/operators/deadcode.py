@@ -158,7 +158,7 @@ def root_rules(config: Config, prefix: str) -> Column:
             path.endswith(".cs") & (leaf.startswith("operator_") | leaf.startswith("~")),
             ends(path, JS_TS) & F.when(~method, own_nest).otherwise(F.col("nest_factory") | (nest_class & member.isin("constructor", *NEST_METHODS))),
             method & ends(path, JS_TS) & member.isin(*REACT_METHODS) & F.col("react"),
-            ends(path, JS_TS) & F.regexp_extract(qn, r"\[Symbol\.([A-Za-z_$][\w$]*)\]$", 1).isin(*JS_SYMBOLS),
+            ends(path, JS_TS) & _any([qn.endswith(f"[Symbol.{s}]") for s in JS_SYMBOLS]),
             *[qn.endswith(e) for e in config.entry_points],
             F.lit(config.include_tests) & F.col("is_test"),
         ]

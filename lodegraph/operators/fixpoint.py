@@ -22,15 +22,26 @@ def closure(start: DataFrame, edges: DataFrame, max_depth: int | None = None, mi
     start out unless a cycle leads back to it."""
     edges = edges.select("src", "dst").distinct()
     front = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = (front if min_depth == 0 else front.limit(0)), 0
+    levels, depth = ([front] if min_depth == 0 else []), 0  # each round is a table; now and then they become one
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        for level in levels:
+            step = step.join(level.select("id"), "id", "left_anti")
+        front = cut(step.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
-    return seen
+        levels.append(front)
+        if len(levels) > 8:
+            levels = [cut(_together(levels))]
+    return _together(levels) if levels else front.limit(0)
+
+
+def _together(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
 
 
 def shortest_paths(start: DataFrame, edges: DataFrame, max_depth: int | None = None, order: Column | None = None) -> DataFrame:

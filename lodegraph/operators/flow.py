@@ -63,3 +63,47 @@ def bind_argument(calls: DataFrame, params: DataFrame) -> DataFrame:
     name = F.regexp_extract("via", "^kw:(.+)$", 1)
     met = calls.join(params.withColumnRenamed("fn", "callee"), "callee")
     return met.select(*calls.columns, F.when(F.col("via").startswith("kw:"), F.when(F.array_contains("names", name), name)).otherwise(F.get("names", place)).alias("param"))
+
+
+def return_params(direct: DataFrame, passes: DataFrame) -> DataFrame:
+    """direct (fn, param) that a function returns, passes (fn, param, callee, callee_param) whose result it returns, to all (fn, param) that reach the return."""
+    key = lambda f, p: F.concat_ws("\0", f, p)
+    got = spread(direct.select(key("fn", "param").alias("fn"), F.lit(True).alias("returned")), passes.select(key("fn", "param").alias("caller"), key("callee", "callee_param").alias("callee")), ["returned"])
+    return got.select(F.split("fn", "\0")[0].alias("fn"), F.split("fn", "\0")[1].alias("param"))
+
+
+def drain(returns: DataFrame, return_edges: DataFrame, deferred: DataFrame, arguments: DataFrame, sinks: DataFrame) -> DataFrame:
+    """The FLOWS_TO edges (source, target, via, kind) of what was put off until all summaries are known.
+
+    returns (fn, kind, identity): origins of every function's result; return_edges (callee, caller); deferred (callee, kind, identity): a callee's
+    result that goes into a resource; arguments (caller, pending, callee, param, via): the result of pending as an argument; sinks (fn, param, kind, identity).
+    """
+    resource = lambda k, i: F.concat_ws(":", k, i)
+    origin = returns.select(F.col("fn").alias("of"), resource("kind", "identity").alias("source")).distinct()
+    tainted = origin.select("of").distinct()
+    no = F.lit(None).cast("string")
+    back = return_edges.join(tainted, return_edges["callee"] == tainted["of"]).select(F.col("callee").alias("source"), F.col("caller").alias("target"), no.alias("via"), F.lit("return").alias("kind"))
+    into = deferred.join(origin, deferred["callee"] == origin["of"]).select("source", resource("kind", "identity").alias("target"), no, F.lit("resource"))
+    passed = arguments.join(tainted, arguments["pending"] == tainted["of"]).select(F.col("caller"), F.col("callee"), "via", F.lit("arg"))
+    reach = arguments.join(origin, arguments["pending"] == origin["of"]).select("source", F.col("callee").alias("fn"), "param").join(sinks, ["fn", "param"]).select("source", resource("kind", "identity"), no, F.lit("resource"))
+    return back.union(into).union(passed).union(reach).distinct()
+
+
+def verdicts(pairs: DataFrame, flows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """pairs (source, sink) to (source, sink, verdict, length): FOUND with the least number of edges, else UNKNOWN if the project has a
+    gap in its coverage, else NO_FLOW. All pairs walk together, and a pair that has met its sink stops."""
+    edges = cut(flows.where("source is not null and target is not null").select(F.col("source").alias("at"), F.col("target").alias("to")).distinct())
+    left = cut(pairs.select("source", "sink").distinct())
+    front, seen, met, length = cut(left.select("source").distinct().withColumn("at", F.col("source"))), None, None, 0
+    while not front.isEmpty():
+        length += 1
+        step = front.join(edges, "at").select("source", F.col("to").alias("at")).distinct()
+        front = cut(step if seen is None else step.join(seen, ["source", "at"], "left_anti"))
+        now = cut(left.join(front, (left["source"] == front["source"]) & (left["sink"] == front["at"])).select(left["source"], "sink", F.lit(length).alias("length")))
+        met = now if met is None else cut(met.union(now))
+        left = cut(left.join(now, ["source", "sink"], "left_anti"))
+        seen = front if seen is None else cut(seen.union(front))
+        front = front.join(left.select("source").distinct(), "source", "left_semi")
+    covered = gaps.where("path is not null").limit(1).isEmpty()
+    none = left.select("source", "sink", F.lit("NO_FLOW" if covered else "UNKNOWN").alias("verdict"), F.lit(None).cast("int").alias("length"))
+    return none if met is None else met.select("source", "sink", F.lit("FOUND").alias("verdict"), "length").union(none)

@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAMETER = r"^(\{[^/]+\}|<[^/]+>|:[^/]+)$"
 UNKNOWN_LEAD = "**"
 MAX_LEAD = 2
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
 # Decorator names that are HTTP methods.
 METHODS = ("get", "post", "put", "delete", "patch", "head", "options")
-_DECORATOR = r"""^@(?:(\w+(?:\.\w+)*)\.)?(\w+)\(\s*(?:'(/[^'"]*)'|"(/[^'"]*)")"""
+
+
+def is_parameter(segment: Column) -> Column:
+    """{x}, <x>, <type:x> and :x, with something between the brackets or after the colon."""
+    inside = F.length(segment) > 2
+    return (segment.startswith("{") & segment.endswith("}") & inside) | (segment.startswith("<") & segment.endswith(">") & inside) | (segment.startswith(":") & (F.length(segment) > 1))
 
 
 def segments(path: Column) -> Column:
@@ -35,16 +39,23 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
 def parse_route_decorators(decorators: DataFrame) -> DataFrame:
     """decorators (…, decorator) to (…, receiver, method, template): one row for each method of a route decorator with a literal path."""
     d = F.trim("decorator")
-    name, path = F.lower(F.regexp_extract(d, _DECORATOR, 2)), F.concat(F.regexp_extract(d, _DECORATOR, 3), F.regexp_extract(d, _DECORATOR, 4))
-    listed = F.regexp_extract(d, r"methods\s*=\s*[\[({]([^\])}]*)[\])}]", 1)
-    has_list = d.rlike(r"methods\s*=\s*[\[({][^\])}]*[\])}]")
-    methods = F.when(name.isin(*METHODS), F.array(F.upper(name))).when((name == "route") & ~has_list, F.array(F.lit("GET"))).when(name == "route", F.transform(F.regexp_extract_all(listed, F.lit(r"""['"](\w+)['"]"""), F.lit(1)), F.upper))
-    receiver = F.regexp_extract(d, _DECORATOR, 1)
-    return decorators.select("*", F.when(receiver != "", receiver).alias("receiver"), F.explode(methods).alias("method"), path.alias("template")).where("template <> ''")
+    called = F.substring_index(F.substring(d, 2, 1 << 20), "(", 1)  # what is called, without the @
+    name = F.lower(F.substring_index(called, ".", -1))
+    receiver = F.when(called.contains("."), F.substring(called, F.lit(1), F.length(called) - F.length(F.substring_index(called, ".", -1)) - 1))
+    inside = F.ltrim(F.substring(d, F.instr(d, "(") + 1, F.length(d)))
+    quote = F.substring(inside, 1, 1)
+    path = F.when(quote.isin("'", '"'), F.split_part(F.substring(inside, 2, 1 << 20), quote, F.lit(1)))
+    # the list that the methods keyword has: from the bracket after it to the next closing one
+    given = F.regexp_extract(F.regexp_replace(inside, "\\s", ""), "[,(]?methods=[^A-Za-z0-9_]([^])}]*)[])}]", 1)
+    has_list = F.regexp_replace(inside, "\\s", "").rlike("methods=[\\[({]")
+    listed = F.filter(F.transform(F.split(given, ","), lambda m: F.upper(F.regexp_replace(m, "[^A-Za-z0-9_]", ""))), lambda m: m != "")
+    methods = F.when(name.isin(*METHODS), F.array(F.upper(name))).when((name == "route") & ~has_list, F.array(F.lit("GET"))).when(name == "route", listed)
+    known = d.startswith("@") & d.contains("(") & path.startswith("/") & called.rlike("^[A-Za-z0-9_.]+$")
+    return decorators.select("*", receiver.alias("receiver"), F.explode(F.when(known, methods)).alias("method"), path.alias("template"))
 
 
 def _same(template: Column, url: Column) -> Column:
-    return F.forall(F.zip_with(template, url, lambda t, u: t.rlike(PARAMETER) | (t == u)), lambda ok: ok)
+    return F.forall(F.zip_with(template, url, lambda t, u: is_parameter(t) | (t == u)), lambda ok: ok)
 
 
 def match_templates(urls: DataFrame, templates: DataFrame) -> DataFrame:
@@ -57,7 +68,7 @@ def match_templates(urls: DataFrame, templates: DataFrame) -> DataFrame:
     u = urls.where(linkable).withColumn("_u", segments(path))
     t = templates.withColumn("_all", segments(F.col("template")))
     t = t.withColumn("_open", F.coalesce(F.get("_all", F.lit(0)) == UNKNOWN_LEAD, F.lit(False))).withColumn("_t", F.when(F.col("_open"), F.slice("_all", 2, F.size("_all"))).otherwise(F.col("_all")))
-    t = t.where(F.exists("_all", lambda s: ~s.rlike(PARAMETER) & (s != UNKNOWN_LEAD)))
+    t = t.where(F.exists("_all", lambda s: ~is_parameter(s) & (s != UNKNOWN_LEAD)))
     # the number of segments that both have after a lead of `lead` (of the url: > 0, of the template: < 0)
     t = t.withColumn("_lead", F.explode(F.when(F.col("_open"), F.sequence(F.lit(0), F.lit(64))).otherwise(F.sequence(F.lit(-MAX_LEAD), F.lit(MAX_LEAD)))))
     t = t.withColumn("_n", F.size("_t") + F.col("_lead")).where("_n >= 0")
@@ -67,7 +78,7 @@ def match_templates(urls: DataFrame, templates: DataFrame) -> DataFrame:
     u_tail, t_tail = F.slice("_u", lead + 1, F.greatest(F.size("_u"), F.lit(1))), F.slice("_t", drop + 1, F.greatest(F.size("_t"), F.lit(1)))
     mount = F.slice("_t", 1, F.greatest(drop, F.lit(0)))
     how = F.when(F.col("_open") | (F.col("_lead") == 0), "exact").when(F.col("_lead") > 0, "suffix").otherwise("mount")
-    ok = _same(t_tail, u_tail) & F.when(how == "mount", ~F.exists(mount, lambda s: s.rlike(PARAMETER)) & F.exists(t_tail, lambda s: ~s.rlike(PARAMETER)) & (F.size("_u") > 0)).when(how == "suffix", F.size("_t") > 0).otherwise(True)
+    ok = _same(t_tail, u_tail) & F.when(how == "mount", ~F.exists(mount, lambda s: is_parameter(s)) & F.exists(t_tail, lambda s: ~is_parameter(s)) & (F.size("_u") > 0)).when(how == "suffix", F.size("_t") > 0).otherwise(True)
     stripped = F.when(how == "suffix", F.concat(F.lit("/"), F.array_join(F.slice("_u", 1, F.greatest(lead, F.lit(0))), "/"))).when(how == "mount", F.concat(F.lit("/"), F.array_join(mount, "/")))
     return met.where(ok).select(*urls.columns, *[c for c in templates.columns if c not in urls.columns], how.alias("how"), stripped.alias("lead"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.graph import Graph
 from lodegraph.operators.fixpoint import closure
+from lodegraph.operators.flow import spread
 
 
 def merge_nodes(old: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -79,3 +80,54 @@ def restore_inbound(before: Graph, after: Graph, changed: DataFrame) -> Graph:
     ids = after.nodes.select("id")
     back = into.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(*before.edges.columns)
     return Graph(after.nodes, after.edges.union(back).distinct())
+
+
+def append_edges(old: DataFrame, batch: DataFrame, nodes: DataFrame) -> DataFrame:
+    """CREATE: every row of the batch whose ends exist is an edge of its own, whatever is there."""
+    ends = nodes.select("id").distinct()
+    there = batch.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return old.unionByName(there.select(*old.columns))
+
+
+def with_and_without_key(batch: DataFrame, key_of: dict[str, str]) -> DataFrame:
+    """(label, written, skipped) of a batch with a column label: rows without the key property of their label are skipped and counted."""
+    key = F.lit(None).cast("string")
+    for label, column in key_of.items():
+        key = F.when(F.col("label") == label, F.col(column).cast("string")).otherwise(key)
+    return batch.groupBy("label").agg(F.count_if(key.isNotNull()).alias("written"), F.count_if(key.isNull()).alias("skipped"))
+
+
+CONTAINS = ["CONTAINS_PACKAGE", "CONTAINS_FOLDER", "CONTAINS_FILE", "CONTAINS_MODULE"]
+
+
+def purge_shared(graph: Graph, labels: tuple[str, ...] = ("Folder", "File"), key: str = "absolute_path") -> Graph:
+    """Without nodes of these labels that more than one project contains, or that have no key. Owners spread down the containment edges together."""
+    down = graph.typed(*CONTAINS).select(F.col("dst").alias("caller"), F.col("src").alias("callee")).distinct()
+    owners = spread(graph.labelled("Project").select(F.col("id").alias("fn"), F.col("id").alias("project")), down, ["project"])
+    shared = owners.groupBy("fn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fn").alias("id"))
+    these = graph.labelled(*labels)
+    gone = these.join(shared, "id", "left_semi").select("id")
+    if key in graph.nodes.columns:
+        gone = gone.union(these.where(F.col(key).isNull()).select("id"))
+    return delete_nodes(graph, gone)
+
+
+def prune_vanished(graph: Graph, listing: DataFrame, rel_types: list[str], labels: tuple[str, ...] = ("Module", "File", "Folder", "Package")) -> Graph:
+    """Without the nodes of these labels whose path isn't listed (path) any more, and all that they contain."""
+    gone = graph.labelled(*labels).where("path is not null").join(listing.select("path").distinct(), "path", "left_anti").select("id")
+    return delete_subtree(graph, gone, rel_types)
+
+
+def replace_files(before: Graph, changed: DataFrame, parsed: Graph, rel_types: list[str]) -> Graph:
+    """A re-parse: the changed files' modules go with all that they define, what was parsed anew comes, and edges from elsewhere come back."""
+    old = before.nodes.join(changed.select("path").distinct(), "path", "left_semi").select("id")
+    kept = delete_subtree(before, old, rel_types)
+    after = Graph(kept.nodes.unionByName(parsed.nodes), kept.edges.unionByName(parsed.edges))
+    return restore_inbound(before, after, changed)
+
+
+def relink(edges: DataFrame, rel_type: str, sources: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Edges of the type that leave these sources (id) are dropped and the fresh ones take their place."""
+    stale = edges.where(F.col("rel_type") == rel_type).join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    kept = edges.join(stale.select("src", "rel_type", "dst").distinct(), ["src", "rel_type", "dst"], "left_anti").select(*edges.columns)
+    return kept.unionByName(fresh.select(*edges.columns)).distinct()

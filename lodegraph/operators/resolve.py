@@ -1,4 +1,4 @@
-"""Name resolution: distances, ancestors and providers."""
+"""Name resolution: distances, ancestors, providers, and what a call resolves to."""
 
 from __future__ import annotations
 
@@ -53,11 +53,43 @@ def providers(class_: DataFrame, inherits: DataFrame, members: DataFrame) -> Dat
     return class_.join(all_, "class").join(members.select(F.col("class").alias("provider"), "name", "member"), ["provider", "name"]).select("class", "name", "member").distinct()
 
 
-def natural_name(qn: Column) -> Column:
-    """Without the mark of a repeated definition (@line or @line_col)."""
-    return F.regexp_replace(qn, r"^(.+)@(?:\d_*)+$", "$1")
-
-
-def signatureless(qn: Column) -> Column:
-    """Without a trailing parameter list."""
-    return F.when(qn.endswith(")"), F.regexp_replace(qn, r"\([^(]*\)$", "")).otherwise(qn)
+def first_definition(qn: Column) -> Column:
+    """The name that the first definition of several has: later ones carry @line or @line_column at the end."""
+    return F.regexp_replace(qn, "(?<=.)(@[0-9_]+)+$", "")
+
+
+def without_parameters(qn: Column) -> Column:
+    """Without the parameter list at the end."""
+    return F.when(qn.endswith(")") & qn.contains("("), F.regexp_replace(qn, "[(][^(]*$", "")).otherwise(qn)
+
+
+def cascade(decisions: DataFrame) -> DataFrame:
+    """decisions (call, rule, distance, target) to (call, rule, target): the lowest rule that says anything decides, by its nearest target and then
+    the least name. A rule that decides against any target says so with a null one, and outdoes its own targets."""
+    order = F.struct(F.col("rule"), F.col("target").isNotNull(), F.coalesce("distance", F.lit(0)), F.coalesce("target", F.lit("")))
+    return decisions.groupBy("call").agg(F.min_by(F.struct("rule", "target"), order).alias("b")).select("call", "b.rule", "b.target")
+
+
+def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame, builtins: DataFrame) -> DataFrame:
+    """calls (call, module, name) to (call, rule, target) against definitions (qualified_name, module, name), imports (module, name, target; a null
+    target is external, the name * stands for all of the target module) and builtins (name).
+
+    1 an import of that name, external ones decide against; 2 a definition of the module; 3 one of a module imported as a whole;
+    4 a built-in, which decides against; 5 any definition of the name, the nearest by import distance.
+    """
+    d = definitions.select("qualified_name", F.col("module").alias("d_module"), "name")
+    zero, none = F.lit(0).alias("distance"), F.lit(None).cast("string").alias("target")
+    named = imports.where("name <> '*'").select("module", "name", F.col("target").alias("to"))
+    by_name = calls.join(named, ["module", "name"]).join(d.select(F.col("qualified_name").alias("to"), F.lit(True).alias("known")), "to", "left")
+    one = by_name.where("known or to is null").select("call", F.lit(1).alias("rule"), zero, F.col("to").alias("target"))
+    two = calls.join(d, "name").where("module = d_module").select("call", F.lit(2), zero, F.col("qualified_name"))
+    whole = imports.where("name = '*'").select("module", F.col("target").alias("d_module")).distinct()
+    three = calls.join(whole, "module").join(d, ["d_module", "name"]).select("call", F.lit(3), zero, F.col("qualified_name"))
+    four = calls.join(builtins.select("name").distinct(), "name", "left_semi").select("call", F.lit(4), zero, none)
+    # what is decided is not looked for everywhere, and one search serves all calls of a module
+    early = cut(one.union(two).union(three).union(four))
+    open_ = calls.join(early.select("call").distinct(), "call", "left_anti")
+    asked = open_.select("module", "name").distinct().join(d, "name").select("module", "name", import_distance(F.col("qualified_name"), F.col("module")).alias("distance"), "qualified_name")
+    nearest = asked.groupBy("module", "name").agg(F.min_by(F.struct("distance", "qualified_name"), F.struct("distance", "qualified_name")).alias("b"))
+    five = open_.join(nearest, ["module", "name"]).select("call", F.lit(5), F.col("b.distance"), F.col("b.qualified_name"))
+    return cascade(early.union(five))

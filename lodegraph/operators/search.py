@@ -39,3 +39,33 @@ def findings(modules: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
         hit = lines.where(F.col("line_text").rlike(regex)).select("qualified_name", F.lit(rule).alias("rule"), F.lit(label).alias("label"), (F.col("at") + 1).alias("line"), (F.length(F.split("line_text", regex, 2)[0]) + 1).alias("col"), F.substring("line_text", 1, 200).alias("snippet"))
         out = hit if out is None else out.union(hit)
     return out.select(F.concat_ws(".", "qualified_name", "line", "col", "rule").alias("key"), "label", "rule", "line", "col", "snippet")
+
+
+def semantic_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hits (id, score) with their nodes (id, qualified_name, name, label), in the hits' order; hits without a node are left out."""
+    met = hits.join(nodes.select("id", "qualified_name", "name", "label"), "id")
+    return met.select("id", "qualified_name", "name", F.coalesce("label", F.lit("Unknown")).alias("type"), F.round("score", 3).alias("score")).orderBy(F.desc(met["score"]), "id")
+
+
+def scoped_hits(vectors: DataFrame, prefix: str, k: int) -> DataFrame:
+    """vectors (id, qualified_name, score): the k best below a project's name, filtered before the ranking."""
+    return vectors.where(F.col("qualified_name").startswith(prefix)).orderBy(F.desc("score"), "id").limit(k)
+
+
+def without_projects(vectors: DataFrame, projects: DataFrame) -> DataFrame:
+    """vectors (id, qualified_name, …) without those of the projects (project)."""
+    gone = projects.select("project").distinct()
+    return vectors.join(gone, F.split("qualified_name", r"\.")[0] == F.col("project"), "left_anti")
+
+
+def embedding_candidates(nodes: DataFrame, defines: DataFrame) -> DataFrame:
+    """(id, qualified_name, start_line, end_line, path) of the functions and methods that modules define (src, dst), with their spans."""
+    modules = nodes.where("label = 'Module'").select(F.col("id").alias("src"), F.col("path").alias("module_path"))
+    code = nodes.where(F.col("label").isin("Function", "Method")).select(F.col("id").alias("dst"), "qualified_name", "start_line", "end_line")
+    return defines.join(modules, "src").join(code, "dst").select(F.col("dst").alias("id"), "qualified_name", "start_line", "end_line", F.col("module_path").alias("path")).distinct()
+
+
+def structural_cap(rows: DataFrame, order: list[str], most: int = 200) -> DataFrame:
+    """The first matches of a structural search, and whether there are more."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    return rows.orderBy(*order).limit(most).crossJoin(F.broadcast(n)).withColumn("more", F.col("n") > most).drop("n")

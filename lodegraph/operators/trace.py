@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.operators.resolve import natural_name
+from lodegraph.operators.resolve import first_definition
 
 # Names of frames that stand for a module, for local scopes, and the begin of synthetic ones.
 MODULE, LOCALS, SYNTHETIC = "<module>", "<locals>", "<"
@@ -40,7 +40,7 @@ def resolve(frames: DataFrame, nodes: DataFrame, root: str, dotted: bool = True)
     f = f.join(modules, "rel", "left").join(known, "rel", "left")
     look = F.col("has_code") & ~F.col("module") & (F.lit(True) if not dotted else ~F.col("synthetic"))
     met = f.where(look).select("frame_id", "rel", "suffix", "synthetic", "line").join(code, "rel")
-    natural = natural_name(F.col("n_qn"))
+    natural = first_definition(F.col("n_qn"))
     named = natural.endswith(F.col("suffix")) if dotted else ((F.concat(F.lit("."), F.substring_index(natural, ".", -1)) == F.col("suffix")) & ~F.col("synthetic"))
     holds = F.coalesce((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")), F.lit(False))
     tier = F.when(named & holds, 1).when(named, 2).when(holds, 3)
@@ -55,9 +55,18 @@ def resolve(frames: DataFrame, nodes: DataFrame, root: str, dotted: bool = True)
 
 def edge_statistics(rows: DataFrame) -> DataFrame:
     """rows (caller, callee, count, workloads, receiver_types) to one row a pair: counts add up, sets unite, lists are sorted and cut after counting."""
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    e = rows.groupBy("caller", "callee").agg(F.sum("count").alias("dynamic_call_count"), united("workloads").alias("w"), united("receiver_types").alias("r"))
-    return e.select("caller", "callee", "dynamic_call_count", F.size("w").cast("long").alias("dynamic_workload_count"), F.slice("w", 1, MAX_WORKLOADS).alias("dynamic_workloads"), F.slice("r", 1, MAX_RECEIVERS).alias("dynamic_receiver_types"))
+    pair = ["caller", "callee"]
+
+    def first(column: str, most: int, n: str, values: str) -> DataFrame:
+        """Distinct values combine before they shuffle, and an edge with many keeps a rank's worth of them in one place."""
+        each = rows.select(*pair, F.explode(column).alias("v")).distinct()
+        rank = Window.partitionBy(*pair).orderBy("v")
+        kept = each.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= most).groupBy(*pair).agg(F.sort_array(F.collect_list("v")).alias(values))
+        return each.groupBy(*pair).agg(F.count(F.lit(1)).alias(n)).join(kept, pair)
+
+    none = F.array().cast("array<string>")
+    e = rows.groupBy(*pair).agg(F.sum("count").alias("dynamic_call_count")).join(first("workloads", MAX_WORKLOADS, "n_w", "w"), pair, "left").join(first("receiver_types", MAX_RECEIVERS, "n_r", "r"), pair, "left")
+    return e.select(*pair, "dynamic_call_count", F.coalesce("n_w", F.lit(0).cast("long")).alias("dynamic_workload_count"), F.coalesce("w", none).alias("dynamic_workloads"), F.coalesce("r", none).alias("dynamic_receiver_types"))
 
 
 def ingest(records: DataFrame, nodes: DataFrame, static_calls: DataFrame, root: str, sampled: bool = False, dotted: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -108,7 +108,9 @@ def parse_manifest(path: str, text: str) -> list[tuple[str, str]]:
         if name == "go.mod":
             return re.findall(r"^(?:require\s+|\t)\s*([\w./~-]+\.[\w./~-]+)\s+(v[\w.+-]+)", text, re.M)
         if name == "Gemfile":
-            return [(a, b) for a, b in re.findall(r"^\s*gem\s+['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?", text, re.M)]
+            lines = [x.split("#")[0].split() for x in text.replace(",", " , ").splitlines()]
+            given = [[p.strip("'\"") for p in " ".join(x[1:]).split(" , ")] for x in lines if x[:1] == ["gem"] and len(x) > 1]
+            return [(p[0], p[1] if len(p) > 1 and ":" not in p[1] else "") for p in given]
         if name == "pubspec.yaml":
             part = re.findall(r"^(?:dev_)?dependencies:\n((?:[ \t]+.*\n?|\n)*)", text, re.M)
             return [(a, b.strip()) for p in part for a, b in re.findall(r"^  ([A-Za-z_]\w*):[ \t]*(.*)$", p, re.M)]

@@ -100,8 +100,8 @@ Traceback (most recent call last):
 
 
 def test_crash(spark):
-    assert crash.parse_traceback(TRACEBACK) == ([("/r/m.py", 3, "top"), ("/r/m.py", 7, "mid")], "Ünicode.Error", "boom: x")
-    assert crash.parse_traceback("KeyboardInterrupt") == ([], "KeyboardInterrupt", "")
+    parsed = [(list(map(tuple, r["frames"])), r["exception"], r["message"]) for r in crash.parse_tracebacks(spark.createDataFrame([(1, TRACEBACK), (2, "KeyboardInterrupt"), (3, None)], "i int, text string")).orderBy("i").collect()]
+    assert parsed == [([("/r/m.py", 3, "top"), ("/r/m.py", 7, "mid")], "Ünicode.Error", "boom: x"), ([], "KeyboardInterrupt", ""), ([], "", "")]
     calls = spark.createDataFrame([("top", "mid"), ("mid", "low"), ("x", "low"), ("y", "x"), ("y", "mid"), ("far", "y"), ("farther", "far")], "from_qn string, to_qn string")
     flows = spark.createDataFrame([("src", "low"), ("x", "low"), ("src", "else")], "source string, target string")
     got = [(r["qualified_name"], r["score"], r["call_path"]) for r in crash.rank_causes(["top", "mid", "low"], calls, flows).collect()]
@@ -193,7 +193,7 @@ def test_shortest_path_ties_follow_the_queue(spark):
 
 def test_names(spark):
     row = spark.createDataFrame([("p.pkg.sib.f", "p.pkg.call", "p.m.f@12", "p.m.f@12_4", "p.m.f@x", "a.b(String, (x))", "a.b")], "a string, b string, c string, d string, e string, f string, g string")
-    r = row.select(resolve.import_distance(F.col("a"), F.col("b")).alias("d"), *[resolve.natural_name(F.col(x)).alias(x) for x in "cde"], resolve.signatureless(F.col("g")).alias("g")).first()
+    r = row.select(resolve.import_distance(F.col("a"), F.col("b")).alias("d"), *[resolve.first_definition(F.col(x)).alias(x) for x in "cde"], resolve.without_parameters(F.col("g")).alias("g")).first()
     assert tuple(r) == (1, "p.m.f", "p.m.f", "p.m.f@x", "a.b")
 
 

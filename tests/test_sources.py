@@ -14,11 +14,13 @@ from lodegraph.streaming import watch
 
 
 def test_document(spark, tmp_path):
-    doc = {"nodes": [{"node_id": 1, "labels": ["Function"], "properties": {"name": "foo", "qualified_name": "m.foo"}}, {"node_id": 2, "labels": ["Module"], "properties": {"name": "m"}}], "relationships": [{"from_id": 2, "to_id": 1, "type": "DEFINES", "properties": {}}, {"from_id": 1, "to_id": 1, "type": "CALLS", "properties": {"line": 10}}], "metadata": {"total_nodes": 2, "total_relationships": 2}}
+    nodes = [(40, "Class", {"qualified_name": "shop.cart.Cart", "name": "Cart"}), (41, "Method", {"qualified_name": "shop.cart.Cart.total", "name": "total"}), (42, "File", {"name": "cart.py"})]
+    edges = [(40, 41, "DEFINES_METHOD", {}), (41, 41, "CALLS", {"line": 77})]
+    doc = {"nodes": [{"node_id": i, "labels": [x], "properties": p} for i, x, p in nodes], "relationships": [{"from_id": a, "to_id": b, "type": t, "properties": p} for a, b, t, p in edges], "metadata": {"total_nodes": 3, "total_relationships": 2}}
     (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
     g = exports.read_document(spark, str(tmp_path / "g.json"))
-    assert {(r["id"], r["label"], r["qualified_name"]) for r in g.nodes.collect()} == {(1, "Function", "m.foo"), (2, "Module", None)}
-    assert [exports.edges_of(g, 1, x).count() for x in ("in", "out", "both")] == [2, 1, 3]
+    assert {(r["id"], r["label"], r["qualified_name"]) for r in g.nodes.collect()} == {(40, "Class", "shop.cart.Cart"), (41, "Method", "shop.cart.Cart.total"), (42, "File", None)}
+    assert [exports.edges_of(g, 41, x).count() for x in ("in", "out", "both")] == [2, 1, 3]
 
 
 def test_snapshot(spark, tmp_path, sf_dir):
