@@ -48,6 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: list[str] = []
         atexit.register(_delete, spark, self.base)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -56,8 +57,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
+    def keep(self, *paths: str) -> None:
+        """Deletes all tables but these."""
+        for path in self.paths:
+            if path not in paths:
+                _delete(self.spark, path)
+        self.paths = list(paths)
+
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table of write() that no later step reads."""
         if df is not None and getattr(df, "_scratch_path", None):

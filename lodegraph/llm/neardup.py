@@ -440,6 +440,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     more = sides.mapInArrow(_links(percent), "a long, b long")
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), scratch)
     roots = roots.select(F.col("id").alias("rep"), "root")
+    scratch.keep(made._scratch_path, typed._scratch_path, [p for p in scratch.paths if "/edges-" in p][-1])  # all that the result is read from
     grouped = typed.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     empty = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -84,7 +84,7 @@ def places(gap: int, longest: int) -> int:
 
 def _sweep(longest: int) -> object:
     """Rows (down, is_piece, id), sorted: pairs (pid, sid, size), then what is left of the range and how much of it. Every gap comes
-    back once with the size that it had, as one with no place left (_FULL) or with its places (_GAP)."""
+    back once with the size that it had and, as pid, the size that the range leaves it, as one with no place left (_FULL) or with its places (_GAP)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack, alone = TaskContext.get().partitionId(), [], 0
@@ -97,21 +97,22 @@ def _sweep(longest: int) -> object:
             pairs, left, full = [], [], []
             for down, is_piece, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if not is_piece:
-                    stack.append([i, -down, places(-down, longest)])  # those too small come after all pieces
+                    stack.append([i, -down, places(-down, longest), -down])  # those too small come after all pieces
                 elif stack:
                     top = stack[-1]
                     pairs.append((0, i, top[0], -down, 0))
                     top[2] -= 1
+                    top[3] += down
                     if not top[2]:
-                        full.append((0, 0, top[0], top[1], 0))
+                        full.append((0, top[3], top[0], top[1], 0))
                         stack.pop()
                 else:
                     left.append((alone, i, 0, -down, 0))
                     alone += 1
             yield from (made(w, rows) for w, rows in ((_PAIR, pairs), (_PIECE, left), (_FULL, full)) if rows)
         waiting, rows = 0, []
-        for sid, gap, n in stack:
-            rows.append((waiting, 0, sid, gap, waiting + n))
+        for sid, gap, n, after in stack:
+            rows.append((waiting, after, sid, gap, waiting + n))
             waiting += n
             if len(rows) == 1 << 14:
                 yield made(_GAP, rows)
@@ -144,9 +145,9 @@ def carried(sums: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int,
     return out, got
 
 
-def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """left (pid, length), gaps (sid, gap) to (pairs (pid, sid, length), what is left, the gaps after it). Only the sweep is
-    written; the rest follows from its rows."""
+def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, longest: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
+    """left (pid, length), gaps (sid, gap) to (pairs (pid, sid, length), what is left, the gaps after it, numbers about these).
+    The sweep and the pairs across ranges are written; the rest follows from their rows."""
     spark = left.sparkSession
     rows = left.select((-F.col("length")).alias("down"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"))
     rows = rows.union(gaps.select(-F.col("gap"), F.lit(False), F.col("sid")))
@@ -163,12 +164,16 @@ def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, longest: int) ->
         waits = waits.withColumn("lo", F.greatest("from", "first")).withColumn("hi", F.least("until", "end")).where("lo < hi")
         taken = waits.select("sid", F.col("to_part").alias("part"), "end", "to_rank", F.explode(F.expr("sequence(lo, hi - 1)")).alias("place"))
         taken = taken.select(F.col("sid").alias("of"), "part", (F.col("to_rank") + F.col("end") - 1 - F.col("place")).alias("rank"))
-        pairs = pairs.union(alone.join(taken, ["part", "rank"]).select("pid", F.col("of").alias("sid"), F.col("size").alias("length")))
+        late = alone.join(taken, ["part", "rank"]).select("pid", F.col("of").alias("sid"), F.col("size").alias("length"))
+        pairs = pairs.union(scratch.write(late, "late"))
         count = spark.createDataFrame(list(got.items()), "part int, got long")
         after = alone.join(F.broadcast(count), "part").where("rank >= got")
     held = swept.where(F.col("what").isin(_GAP, _FULL)).select("sid", F.col("size").alias("gap"))
     shrunk = held.union(pairs.select("sid", -F.col("length"))).groupBy("sid").agg(F.sum("gap").alias("gap")).where("gap > 0")
-    return pairs, after.select("pid", F.col("size").alias("length")), shrunk
+    after = after.select("pid", F.col("size").alias("length"))
+    widest = swept.where(F.col("what").isin(_GAP, _FULL)).select(F.lit(None).cast("long").alias("length"), F.col("pid").alias("gap"))
+    stats = after.select("length", F.lit(0).cast("long").alias("gap")).union(widest)
+    return pairs, after, shrunk, stats.agg(F.count("length"), F.sum("length"), F.min("length"), F.max("length"), F.coalesce(F.max("gap"), F.lit(0))).first()
 
 
 def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -186,15 +191,17 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> Data
         band, rest = [n for n in rest if n > low], [n for n in rest if n <= low]
         left = made.where(F.col("length").between(band[-1], band[0])).select("pid", "length")
         n, total, shortest, longest = sum(sizes[x] for x in band), sum(x * sizes[x] for x in band), band[-1], band[0]
+        stuck = False
         while n:
-            if widest < shortest:
+            if widest < shortest or stuck:
                 more = max(1, total // capacity)
                 gaps = gaps.union(spark.range(n_new + 1, n_new + 1 + more).select((-F.col("id")).alias("sid"), F.lit(capacity).cast("long").alias("gap")))
                 n_new += more
-            pairs, left, gaps = _round(scratch, left, gaps, longest)
+                stuck = False
+            before = n
+            pairs, left, gaps, (n, total, shortest, longest, widest) = _round(scratch, left, gaps, longest)  # widest: at most
+            stuck = n == before
             placed.append(pairs.select("pid", "sid", "length", F.lit(len(placed)).alias("round")))
-            stats = left.select("length", F.lit(0).cast("long").alias("gap")).union(gaps.select(F.lit(None).cast("long"), "gap"))
-            n, total, shortest, longest, widest = stats.agg(F.count("length"), F.sum("length"), F.min("length"), F.max("length"), F.coalesce(F.max("gap"), F.lit(0))).first()
     all_placed = placed[0]
     for p in placed[1:]:
         all_placed = all_placed.union(p)
