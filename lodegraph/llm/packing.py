@@ -147,7 +147,7 @@ def carried(sums: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int,
 
 def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, longest: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
     """left (pid, length), gaps (sid, gap) to (pairs (pid, sid, length), what is left, the gaps after it, numbers about these).
-    The sweep and the pairs across ranges are written; the rest follows from their rows."""
+    The sweep, the pairs across ranges and the gaps are written; the rest follows from their rows."""
     spark = left.sparkSession
     rows = left.select((-F.col("length")).alias("down"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"))
     rows = rows.union(gaps.select(-F.col("gap"), F.lit(False), F.col("sid")))
@@ -173,7 +173,7 @@ def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, longest: int) ->
     after = after.select("pid", F.col("size").alias("length"))
     widest = swept.where(F.col("what").isin(_GAP, _FULL)).select(F.lit(None).cast("long").alias("length"), F.col("pid").alias("gap"))
     stats = after.select("length", F.lit(0).cast("long").alias("gap")).union(widest)
-    return pairs, after, shrunk, stats.agg(F.count("length"), F.sum("length"), F.min("length"), F.max("length"), F.coalesce(F.max("gap"), F.lit(0))).first()
+    return pairs, after, scratch.write(shrunk, "gaps"), stats.agg(F.count("length"), F.sum("length"), F.min("length"), F.max("length"), F.coalesce(F.max("gap"), F.lit(0))).first()
 
 
 def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -198,8 +198,9 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> Data
                 gaps = gaps.union(spark.range(n_new + 1, n_new + 1 + more).select((-F.col("id")).alias("sid"), F.lit(capacity).cast("long").alias("gap")))
                 n_new += more
                 stuck = False
-            before = n
+            before, was = n, gaps
             pairs, left, gaps, (n, total, shortest, longest, widest) = _round(scratch, left, gaps, longest)  # widest: at most
+            scratch.drop(was)
             stuck = n == before
             placed.append(pairs.select("pid", "sid", "length", F.lit(len(placed)).alias("round")))
     all_placed = placed[0]
