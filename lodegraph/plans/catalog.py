@@ -239,12 +239,6 @@ def j4_optional_hop(spark, d):
     return pattern.hop(g, pattern.renamed(g.labelled("Package"), "a"), "a", ["CONTAINS_MODULE"], g.nodes, "b", optional=True, where=F.col("b_flow_covered")).groupBy(F.col("a_id").alias("id")).agg(F.count("b_id").alias("n_covered"))
 
 
-@query("SELECT id FROM nodes WHERE label = 'Function' AND id NOT IN (SELECT dst FROM edges WHERE rel_type = 'CALLS' AND src LIKE '%7')", NODES, EDGES)
-def j5_absent_edge(spark, d):
-    g = graph(spark, d)
-    return pattern.without(Graph(g.nodes, g.edges.where(F.col("src").endswith("7"))), g.labelled("Function"), ["CALLS"], "in").select("id")
-
-
 @query("SELECT id FROM nodes WHERE label = 'Function' AND id NOT IN (SELECT dst FROM edges WHERE rel_type = 'CALLS')", NODES, EDGES)
 def j5_absent_edge_all(spark, d):
     g = graph(spark, d)
@@ -515,16 +509,6 @@ def r26_pagerank(spark, d):
     return fixpoint.pagerank(parts(spark, d), ring(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT a.id AS a, b.id AS b, greatest(len(a.p), len(b.p)) - (SELECT count(*) FROM range(1, 5) x(i) WHERE list_slice(a.p, 1, i) = list_slice(b.p, 1, i) AND i <= least(len(a.p), len(b.p))) - (starts_with(a.q, array_to_string(b.p[1:len(b.p) - 1], '.') || '.'))::INTEGER AS distance FROM (SELECT id, qualified_name AS q, string_split(qualified_name, '.') AS p FROM nodes WHERE label = 'Class') a JOIN (SELECT id, string_split(qualified_name, '.') AS p FROM nodes WHERE label = 'Package') b ON a.id[-1] = b.id[-1]", NODES)
-def r22_import_distance(spark, d):
-    from lodegraph.operators.resolve import import_distance
-
-    g = graph(spark, d)
-    a, b = g.labelled("Class").select(F.col("id").alias("a"), F.col("qualified_name").alias("qa")), g.labelled("Package").select(F.col("id").alias("b"), F.col("qualified_name").alias("qb"))
-    pairs = a.join(b, F.substring("a", -1, 1) == F.substring("b", -1, 1))
-    return pairs.select("a", "b", import_distance(F.col("qa"), F.col("qb")).cast("long").alias("distance"))
-
-
 @query("SELECT DISTINCT a.id AS a, b.id AS b, greatest(len(a.p), len(b.p)) - (SELECT count(*) FROM range(1, 5) x(i) WHERE list_slice(a.p, 1, i) = list_slice(b.p, 1, i) AND i <= least(len(a.p), len(b.p))) - (starts_with(a.q, array_to_string(b.p[1:len(b.p) - 1], '.') || '.'))::INTEGER AS distance FROM (SELECT id, qualified_name AS q, string_split(qualified_name, '.') AS p FROM nodes WHERE label = 'Class') a JOIN (SELECT src AS id, dst, string_split(qualified_name, '.') AS p FROM edges JOIN nodes ON src = id WHERE label = 'Package') b ON b.dst = a.id", NODES, EDGES)
 def r22_import_distance_edges(spark, d):
     from lodegraph.operators.resolve import import_distance
@@ -535,15 +519,6 @@ def r22_import_distance_edges(spark, d):
     return pairs.select("a", "b", import_distance(F.col("qa"), F.col("qb")).cast("long").alias("distance"))
 
 
-@query("SELECT a.qualified_name AS from_qn, b.qualified_name AS to_qn FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE rel_type IN ('CALLS', 'REFERENCES') AND string_split(a.qualified_name, '.')[2] <> string_split(b.qualified_name, '.')[2] AND len(string_split(a.qualified_name, '.')) >= 3 AND len(string_split(b.qualified_name, '.')) >= 3 AND rel_type = 'REFERENCES'", NODES, EDGES)
-def r32_cross_package(spark, d):
-    from lodegraph.operators.resolve import cross_package
-
-    g = graph(spark, d)
-    qn = lambda x: g.nodes.select(F.col("id").alias(x), F.col("qualified_name").alias(f"{x}_qn"))
-    return cross_package(g.typed("REFERENCES").join(qn("src"), "src").join(qn("dst"), "dst").select(F.col("src_qn").alias("from_qn"), F.col("dst_qn").alias("to_qn")))
-
-
 @query("SELECT a.qualified_name AS from_qn, b.qualified_name AS to_qn FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE rel_type IN ('CALLS', 'IMPORTS', 'REFERENCES') AND string_split(a.qualified_name, '.')[2] <> string_split(b.qualified_name, '.')[2] AND len(string_split(a.qualified_name, '.')) >= 3 AND len(string_split(b.qualified_name, '.')) >= 3", NODES, EDGES)
 def r32_cross_package_all(spark, d):
     from lodegraph.operators.resolve import cross_package
