@@ -55,14 +55,18 @@ def _frequent(seq: np.ndarray, pos: np.ndarray, min_count: int, most: int) -> tu
     if not len(pos):
         return none
     key = (a[maybe].astype(np.uint64) << np.uint64(32)) | b[maybe]
-    kinds, count = np.unique(key, return_counts=True)
+    order = np.argsort(key)
+    kinds = key[order]
+    first = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+    kinds, count = kinds[first], np.diff(np.append(first, len(key)))
     best = np.lexsort((kinds, -count))[:most]
     best = best[count[best] >= min_count]
     if not len(best):
         return none
     place = np.full(len(kinds), -1, np.int32)
     place[best] = np.arange(len(best), dtype=np.int32)
-    rank = place[np.searchsorted(kinds, key)]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.repeat(place, count)
     return kinds[best], pos[rank >= 0], rank[rank >= 0]
 
 
