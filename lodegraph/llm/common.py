@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: texts can be long, so batches are kept short.
 ARROW_ROWS = 512
+#: Rows, of a few numbers each, that a join may broadcast.
+FEW = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,15 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 128, size: int = 4 <<
         yield batch.slice(at)
 
 
+def side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A side of a join: broadcast if it has FEW rows at most, shuffled with the other side if it has more or their number isn't known.
+
+    The planner takes a table to be as large as its compressed files, and rows exploded from it no larger; what it
+    broadcasts by that measure can be a hundred times its limit and has to fit the driver.
+    """
+    return F.broadcast(df) if rows is not None and rows <= FEW else df.hint("merge")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

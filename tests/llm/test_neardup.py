@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodegraph.llm import neardup
+from lodegraph.llm import common, neardup
 from lodegraph.llm.common import Scratch
 from lodegraph.llm.graph import components
 
@@ -177,3 +177,38 @@ def test_posted_pairs_are_skipped_after_short_lists_only():
     batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["key", "rep", "n", "small", "mask"])
     got = pa.Table.from_batches(list(neardup._whole(80, 14)(iter([batch]))))
     assert got.to_pylist() == [{"a": 0, "b": 1}]
+
+
+def test_nothing_that_grows_is_broadcast_by_file_size(spark, monkeypatch):
+    """Small files may hold many rows: what has more than FEW is broadcast only after a shuffle has measured it."""
+    rng = random.Random(4)
+    core = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    docs = [" ".join([*core, *[f"u{i}x{k}" for k in range(60)]]) for i in range(100)]
+    docs += [" ".join(_near(rng, docs[i].split(), 3)) for i in range(0, 100, 5)]
+    monkeypatch.setattr(common, "FEW", 0, raising=False)
+    plans, write = [], Scratch.write
+
+    def planned(df):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        for i, x in enumerate(lines):
+            if "BroadcastExchange" in x:
+                below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                if not any("- Exchange " in y for y in lines[i + 1 : below]):
+                    plans.append((name, lines[i + 1 : below]))
+
+    def recorded(self, df, at):
+        nonlocal name
+        name = at
+        planned(df)
+        return write(self, df, at)
+
+    name = ""
+    monkeypatch.setattr(Scratch, "write", recorded)
+    frame = spark.createDataFrame([(i, t, "en", "clash", 1) for i, t in enumerate(docs)], SCHEMA)
+    out = neardup.near_duplicates(spark, frame)
+    name = "result"
+    planned(out)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect())
+    assert got == brute(list(enumerate(docs)))
+    assert plans == []
