@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, short_batches, texts
+from .common import Scratch, short_batches, side, texts
 from .repair import with_end
 from .tokens import encoder
 
@@ -197,7 +197,7 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> Data
         all_placed = all_placed.union(p)
     before = Window.partitionBy("sid").orderBy("round", "pid").rowsBetween(Window.unboundedPreceding, -1)  # a sequence's pieces, capacity at most
     at = all_placed.select("pid", F.col("sid").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
-    return made.join(at, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return made.join(side(at), "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:

@@ -66,3 +66,10 @@ def test_stages_of_nothing(spark, sf_dir):
         assert out.collect() == []
         if name != "packing":
             assert out.columns == COLUMNS
+
+
+def test_packing_broadcasts_no_pieces(spark, sf_dir):
+    """The pieces' files are small, but there is a row for each piece of the corpus."""
+    out = p.pack_sequences(spark, table(spark, sf_dir, "documents"), sf_dir)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in table(spark, sf_dir, "documents").collect()}
