@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: Rows, of a few numbers each, that a join may broadcast.
 FEW = 1 << 14
+#: Without Hadoop's native library the local file system starts a process for each file and folder that it makes, and
+#: one more for each checksum file; the raw one writes none of these. Other file systems don't look at this.
+LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +59,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **LOCAL_FILES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.paths.append(path)
@@ -106,6 +109,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """The same partitions in fewer tasks, one a core at least, for tables of short rows: each task that writes makes a file."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_parts(spark) // 32))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns are ignored, whatever they are called."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, side
+from .common import Scratch, few_tasks, side
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     numbers that tell whether the edges changed, and rounds of few edges. The result is a side() of joins.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
-    cur = scratch.write(edges.where("a <> b").select(big.alias("u"), small.alias("v")).distinct(), "edges")
+    cur = scratch.write(few_tasks(edges.where("a <> b").select(big.alias("u"), small.alias("v")).distinct()), "edges")
     before = None
     while True:
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -29,6 +29,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.where("v > u").join(side(least, now[0]), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(side(low, now[0]), "u")
-        nxt = scratch.write(low.select("u", F.col("m").alias("v")).union(pairs.where("v <> m").select(F.col("v"), F.col("m"))).distinct(), "edges")
+        nxt = scratch.write(few_tasks(low.select("u", F.col("m").alias("v")).union(pairs.where("v <> m").select(F.col("v"), F.col("m"))).distinct()), "edges")
         scratch.drop(cur)
         cur = nxt

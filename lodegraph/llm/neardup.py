@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, lower_map, mix, words
-from .common import Scratch, short_batches, shuffle_parts, side, slices, texts
+from .common import Scratch, few_tasks, short_batches, shuffle_parts, side, slices, texts
 from .graph import components
 
 COORDINATES = 32
@@ -382,21 +382,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 
     made = scratch.write(rows.mapInArrow(lambda batches: _sets(batches, shingle), SET), "sets")
     full = made.where("n_shingles > 0")
-    classes = scratch.write(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("small").alias("small"), F.first("wide").alias("wide")), "classes")
+    classes = scratch.write(few_tasks(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("small").alias("small"), F.first("wide").alias("wide"))), "classes")
 
     key = (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     bit = F.expr("shiftleft(1L, at)")
     listed = classes.select("rep", F.posexplode("signature").alias("at", "value")).select(key, "rep", "at")
-    heavy = scratch.write(listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size), "heavy")
+    heavy = scratch.write(few_tasks(listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > list_size)), "heavy")
     held = listed.join(side(heavy, heavy.count()), "key").groupBy("rep").agg(F.bit_or(bit).alias("long"), F.sort_array(F.collect_list(F.struct("size", "key", "at"))).alias("lists"))  # 32 lists at most
-    held = scratch.write(held, "held")
+    held = scratch.write(few_tasks(held), "held")
     posted = classes.join(side(held.select("rep", "long")), "rep", "left").select("rep", F.col("n_shingles").alias("n"), "small", F.bitwise_not(F.coalesce("long", F.lit(0).cast("long"))).alias("mask"), F.posexplode("signature").alias("at", "value"))
     posted = posted.where(F.col("mask").bitwiseAND(bit) != 0).select(key, "rep", "n", "small", "mask")
     posted = posted.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "rep")
     first = held.where(F.size("lists") >= matches).select("rep", F.expr(f"slice(lists, 1, size(lists) - {matches - 1})").alias("lists"))
     first = first.select("rep", F.expr("aggregate(lists, 0L, (m, x) -> m | shiftleft(1L, x.at))").alias("mask"), F.explode("lists").alias("of"))
     hot = first.join(side(classes.select("rep", F.col("n_shingles").alias("n"), "small", "wide")), "rep").select(F.col("of.key").alias("key"), "rep", "n", "small", "wide", "mask", F.expr("substring(concat(small, small), of.at + 2, 8)").alias("sub"))
-    hot = scratch.write(hot, "hot")
+    hot = scratch.write(few_tasks(hot), "hot")
     ranged = hot.repartitionByRange(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "rep")
     met = posted.mapInArrow(_whole(percent, matches), "a long, b long").union(ranged.select("key", "rep", "n", "small", "mask").mapInArrow(_neighbours(percent, matches, WINDOW), "a long, b long")).distinct()
     sketch = lambda x: side(classes.select(F.col("rep").alias(x), F.col("wide").alias(f"wide_{x}")))
@@ -406,7 +406,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 
     def linked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         """The edges and the links among the pairs, without those inside a component."""
-        needed = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+        needed = scratch.write(few_tasks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "needed")
         held = _marked(rows, needed)
         if needed.count() > FILTER_BITS // 2:  # the filter lets too many texts through
             held = held.join(side(needed), "doc_id", "left_semi")
@@ -422,11 +422,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
         known = components(confirmed(best.select("a", "b").distinct()).union(edges), scratch)
         of = lambda x: known.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
         rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        more = scratch.write(confirmed(rest), "rest")
+        more = scratch.write(few_tasks(confirmed(rest)), "rest")
         scratch.drop(held)
         return known.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
 
-    typed = scratch.write(full.select("doc_id", "n_shingles", "set_a", "set_b").join(side(classes.select("set_a", "set_b", "n_shingles", "rep")), ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
+    typed = scratch.write(few_tasks(full.select("doc_id", "n_shingles", "set_a", "set_b").join(side(classes.select("set_a", "set_b", "n_shingles", "rep")), ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep")), "members")
     shared = typed.select("doc_id", "rep").distinct()
     shared = shared.join(side(shared.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     edges = linked(sketched(met), shared)
@@ -434,7 +434,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     # what long lists hold across components: sketches first, then full sets, each document's once a group
     split = _blocks(hot, roots).repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     near = scratch.write(split.mapInArrow(_across(percent, matches), "key long, lo int, hi int, rep long, root long, partners array<long>"), "across")
-    needed = scratch.write(near.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    needed = scratch.write(few_tasks(near.select(F.col("rep").alias("doc_id")).distinct()), "needed")
     shingled = _marked(rows, needed).mapInArrow(_shingled(shingle), "rep long, shingles binary")
     sides = near.join(side(shingled), "rep").select("key", "lo", "hi", "rep", "root", "partners", "shingles").repartition(shuffle_parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = sides.mapInArrow(_links(percent), "a long, b long")

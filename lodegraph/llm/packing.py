@@ -29,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, short_batches, side, texts
+from .common import Scratch, few_tasks, short_batches, side, texts
 from .repair import with_end
 from .tokens import encoder
 
@@ -83,10 +82,10 @@ def places(gap: int, longest: int) -> int:
 
 
 def _sweep(longest: int) -> object:
-    """Rows (down, is_piece, id), sorted: pairs (pid, sid, size), then what is left of the range and how much of it."""
+    """Rows (down, is_piece, id, part) of one range, sorted: pairs (pid, sid, size), then what is left of the range and how much of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack, alone = TaskContext.get().partitionId(), [], 0
+        part, stack, alone = 0, [], 0
 
         def made(what: int, rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
@@ -94,6 +93,7 @@ def _sweep(longest: int) -> object:
 
         for b in batches:
             pairs, left = [], []
+            part = b.column(3)[0].as_py() if b.num_rows else part
             for down, is_piece, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if not is_piece:
                     stack.append([i, -down, places(-down, longest)])
@@ -148,7 +148,8 @@ def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, shortest: int, lo
     rows = left.select((-F.col("length")).alias("down"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"))
     rows = rows.union(gaps.where(F.col("gap") >= shortest).select(-F.col("gap"), F.lit(False), F.col("sid")))
     order = ["down", "is_piece", "id"]
-    swept = scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(longest), SWEPT), "swept")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())  # a task may sweep several, one after the other
+    swept = scratch.write(few_tasks(ranged.mapInArrow(_sweep(longest), SWEPT)), "swept")
     sums = sorted((r["part"], r["rank"], r["until"]) for r in swept.where(F.col("what") == _SUM).collect())  # one row a task
     plan, got = carried(sums)
     pairs = swept.where(F.col("what") == _PAIR).select("pid", "sid", F.col("size").alias("length"))
@@ -160,11 +161,11 @@ def _round(scratch: Scratch, left: DataFrame, gaps: DataFrame, shortest: int, lo
         waits = waits.withColumn("lo", F.greatest("from", "first")).withColumn("hi", F.least("until", "end")).where("lo < hi")
         taken = waits.select("sid", F.col("to_part").alias("part"), "end", "to_rank", F.explode(F.expr("sequence(lo, hi - 1)")).alias("place"))
         taken = taken.select("sid", "part", (F.col("to_rank") + F.col("end") - 1 - F.col("place")).alias("rank"))
-        pairs = scratch.write(pairs.union(alone.join(taken.withColumnRenamed("sid", "of"), ["part", "rank"]).select("pid", F.col("of").alias("sid"), F.col("size").alias("length"))), "pairs")
+        pairs = scratch.write(few_tasks(pairs.union(alone.join(taken.withColumnRenamed("sid", "of"), ["part", "rank"]).select("pid", F.col("of").alias("sid"), F.col("size").alias("length")))), "pairs")
         count = spark.createDataFrame(list(got.items()), "part int, got long")
         after = alone.join(F.broadcast(count), "part").where("rank >= got")
     shrunk = gaps.union(pairs.select("sid", -F.col("length"))).groupBy("sid").agg(F.sum("gap").alias("gap")).where("gap > 0")
-    return pairs, after.select("pid", F.col("size").alias("length")), scratch.write(shrunk, "gaps")
+    return pairs, after.select("pid", F.col("size").alias("length")), scratch.write(few_tasks(shrunk), "gaps")
 
 
 def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
