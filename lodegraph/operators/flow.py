@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.fixpoint import shortest_paths
-from lodegraph.storage import cut
+from lodegraph.storage import cut, side, together
 
 
 def verdict(flows: DataFrame, gaps: DataFrame, source: str, sink: str) -> tuple[str, list[str], list[str]]:
@@ -91,19 +91,27 @@ def drain(returns: DataFrame, return_edges: DataFrame, deferred: DataFrame, argu
 
 def verdicts(pairs: DataFrame, flows: DataFrame, gaps: DataFrame) -> DataFrame:
     """pairs (source, sink) to (source, sink, verdict, length): FOUND with the least number of edges, else UNKNOWN if the project has a
-    gap in its coverage, else NO_FLOW. All pairs walk together, and a pair that has met its sink stops."""
+    gap in its coverage, else NO_FLOW. All pairs walk together, and a pair that has met its sink stops. Only what is counted and short is
+    broadcast."""
     edges = cut(flows.where("source is not null and target is not null").select(F.col("source").alias("at"), F.col("target").alias("to")).distinct())
     left = cut(pairs.select("source", "sink").distinct())
-    front, seen, met, length = cut(left.select("source").distinct().withColumn("at", F.col("source"))), None, None, 0
-    while not front.isEmpty():
+    front, seen, met, length = cut(left.select("source").distinct().withColumn("at", F.col("source"))), [], [], 0
+    rows, n_seen = front.count(), 0
+    while rows:
         length += 1
-        step = front.join(edges, "at").select("source", F.col("to").alias("at")).distinct()
-        front = cut(step if seen is None else step.join(seen, ["source", "at"], "left_anti"))
-        now = cut(left.join(front, (left["source"] == front["source"]) & (left["sink"] == front["at"])).select(left["source"], "sink", F.lit(length).alias("length")))
-        met = now if met is None else cut(met.union(now))
-        left = cut(left.join(now, ["source", "sink"], "left_anti"))
-        seen = front if seen is None else cut(seen.union(front))
-        front = front.join(left.select("source").distinct(), "source", "left_semi")
+        step = side(front, rows).join(edges, "at").select("source", F.col("to").alias("at")).distinct()
+        front = cut(step.join(side(together(seen), n_seen), ["source", "at"], "left_anti") if seen else step)
+        rows = front.count()
+        seen, n_seen = [*seen, front], n_seen + rows
+        if len(seen) > 8:
+            seen = [cut(together(seen))]
+        now = cut(left.join(side(front.withColumnRenamed("at", "sink"), rows), ["source", "sink"], "left_semi").withColumn("length", F.lit(length)))
+        if n_met := now.count():
+            met = [*met, now] if len(met) < 8 else [cut(together([*met, now]))]
+            left = cut(left.join(side(now, n_met), ["source", "sink"], "left_anti"))
+            walking = cut(left.select("source").distinct())
+            front = cut(front.join(side(walking, walking.count()), "source", "left_semi"))
+            rows = front.count()
     covered = gaps.where("path is not null").limit(1).isEmpty()
     none = left.select("source", "sink", F.lit("NO_FLOW" if covered else "UNKNOWN").alias("verdict"), F.lit(None).cast("int").alias("length"))
-    return none if met is None else met.select("source", "sink", F.lit("FOUND").alias("verdict"), "length").union(none)
+    return together([*[m.select("source", "sink", F.lit("FOUND").alias("verdict"), "length") for m in met], none])

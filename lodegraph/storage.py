@@ -1,10 +1,14 @@
-"""Lineage cuts in the shared checkpoint folder of the session."""
+"""Lineage cuts in the shared checkpoint folder of the session, and how joins deal their sides."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows, of a few values each, that a join may broadcast.
+FEW = 1 << 14
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +20,19 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodegraph-"))
     return df.checkpoint(eager=True)
+
+
+def side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A side of a join: broadcast if it has FEW rows at most, shuffled with the other side if it has more or their number isn't known.
+
+    The planner takes a table to be as large as its compressed files, and rows exploded from it no larger; what it
+    broadcasts by that measure grows with the input and has to fit the driver.
+    """
+    return F.broadcast(df) if rows is not None and rows <= FEW else df.hint("merge")
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
