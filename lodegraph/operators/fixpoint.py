@@ -1,12 +1,13 @@
 """Iterative graph algorithms over edge tables (src, dst). Every loop keeps a narrow frontier, writes each
-round to the shared checkpoint folder and stops when a round adds nothing."""
+round to the shared checkpoint folder and stops when a round adds nothing. Joins broadcast only what is
+counted and short (storage.side): what a loop makes has no size that the planner could know."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.storage import cut
+from lodegraph.storage import cut, side, together
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -23,25 +24,20 @@ def closure(start: DataFrame, edges: DataFrame, max_depth: int | None = None, mi
     edges = edges.select("src", "dst").distinct()
     front = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
     levels, depth = ([front] if min_depth == 0 else []), 0  # each round is a table; now and then they become one
-    while max_depth is None or depth < max_depth:
+    rows = front.count()
+    seen = rows if levels else 0
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        for level in levels:
-            step = step.join(level.select("id"), "id", "left_anti")
+        step = side(front, rows).join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
+        if levels:
+            step = step.join(side(together(levels).select("id"), seen), "id", "left_anti")
         front = cut(step.withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        levels.append(front)
+        rows = front.count()
+        if rows:
+            levels, seen = [*levels, front], seen + rows
         if len(levels) > 8:
-            levels = [cut(_together(levels))]
-    return _together(levels) if levels else front.limit(0)
-
-
-def _together(levels: list[DataFrame]) -> DataFrame:
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+            levels = [cut(together(levels))]
+    return together(levels) if levels else front.limit(0)
 
 
 def shortest_paths(start: DataFrame, edges: DataFrame, max_depth: int | None = None, order: Column | None = None) -> DataFrame:
@@ -49,15 +45,15 @@ def shortest_paths(start: DataFrame, edges: DataFrame, max_depth: int | None = N
     first (rank within its level), then the smaller name. The path includes both ends."""
     edges = edges.select("src", "dst").distinct()
     front = cut(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array(F.col("id")).alias("rank")))
-    seen, depth = front, 0
-    while max_depth is None or depth < max_depth:
+    seen, depth, rows = front, 0, front.count()
+    n_seen = rows
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("rank", F.array("dst")).alias("rank"))
-        step = step.join(seen.select("id"), "id", "left_anti")
+        step = side(front, rows * depth).join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("rank", F.array("dst")).alias("rank"))
+        step = step.join(side(seen.select("id"), n_seen), "id", "left_anti")
         front = cut(step.groupBy("id").agg(F.min_by(F.struct("depth", "path", "rank"), "rank").alias("b")).select("id", "b.*"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.union(front))
+        if rows := front.count():
+            seen, n_seen = cut(seen.union(front)), n_seen + rows
     return seen.where("depth > 0").select("id", "depth", "path")
 
 

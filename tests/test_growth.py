@@ -43,3 +43,13 @@ def test_flow_verdicts_broadcast_nothing_that_grows(spark, broadcasts):
 
     want = {(a, b, "FOUND" if steps(a, b) else "UNKNOWN", steps(a, b)) for a in (1, 3, 777) for b in range(200)}
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_closures_broadcast_nothing_that_grows(spark, broadcasts):
+    start = spark.createDataFrame([(3,)], "id long")
+    far = fixpoint.closure(start, half(spark, 200))
+    paths = fixpoint.shortest_paths(start, half(spark, 200))
+    assert broadcasts(far) == broadcasts(paths) == []
+    want = {(b, k) for b in range(200) for k in range(8) if b >> k == 3}
+    assert {tuple(r) for r in far.collect()} == want
+    assert {(r["id"], r["depth"]) for r in paths.collect()} == want - {(3, 0)}
