@@ -99,11 +99,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
     """(id, rank), starting at 1 a node; nodes without out-edges keep their rank to themselves."""
     n = nodes.select("id").distinct()
     out = edges.select("src", "dst").distinct()
-    weighted = cut(out.join(out.groupBy("src").count(), "src").select("src", "dst", (1.0 / F.col("count")).alias("w")))
+    weighted = cut(out.join(side(out.groupBy("src").count()), "src").select("src", "dst", (1.0 / F.col("count")).alias("w")))
     rank = cut(n.withColumn("rank", F.lit(1.0)))
     for _ in range(rounds):
-        got = weighted.join(rank, weighted["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        rank = cut(n.join(got, n["id"] == got["dst"], "left").select("id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        got = weighted.join(side(rank), weighted["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
+        rank = cut(n.join(side(got), n["id"] == got["dst"], "left").select("id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
     return rank
 
 
@@ -112,7 +112,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
     n = ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return nodes.select("id").join(n, "id", "left").select("id", zero("n_in"), zero("n_out"))
+    return nodes.select("id").join(side(n), "id", "left").select("id", zero("n_in"), zero("n_out"))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

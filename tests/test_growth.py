@@ -53,3 +53,17 @@ def test_closures_broadcast_nothing_that_grows(spark, broadcasts):
     want = {(b, k) for b in range(200) for k in range(8) if b >> k == 3}
     assert {tuple(r) for r in far.collect()} == want
     assert {(r["id"], r["depth"]) for r in paths.collect()} == want - {(3, 0)}
+
+
+def test_pagerank_broadcasts_nothing_that_grows(spark, broadcasts):
+    n = 60
+    edges = {(i, (2 * i + 1) % n) for i in range(n)} | {(i, (3 * i + 2) % n) for i in range(n)}
+    nodes, links = spark.range(n), spark.createDataFrame(sorted(edges), "src long, dst long")
+    got, ends = fixpoint.pagerank(nodes, links), fixpoint.degrees(nodes, links)
+    assert broadcasts(got) == broadcasts(ends) == []
+    out = {i: [b for a, b in edges if a == i] for i in range(n)}
+    rank = dict.fromkeys(range(n), 1.0)
+    for _ in range(10):
+        rank = {i: 0.15 + 0.85 * sum(rank[a] / len(out[a]) for a in out if i in out[a]) for i in rank}
+    assert {r["id"]: r["rank"] for r in got.collect()} == pytest.approx(rank)
+    assert {tuple(r) for r in ends.collect()} == {(i, sum(i in b for b in out.values()), len(out[i])) for i in range(n)}
