@@ -62,10 +62,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = cut(both_ways(edges).where("src <> dst").distinct())
     label = cut(nodes.select("id").distinct().withColumn("component", F.col("id")))
     while True:
-        near = both.join(label.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        hooked = label.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        near = both.join(side(label.select(F.col("id").alias("dst"), "component")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
+        hooked = label.join(side(near), "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         roots = hooked.select(F.col("id").alias("r"), F.col("component").alias("up"))
-        new = cut(hooked.join(roots, hooked["component"] == roots["r"]).select("id", "was", F.least("component", "up").alias("component")))
+        new = cut(hooked.join(side(roots), hooked["component"] == roots["r"]).select("id", "was", F.least("component", "up").alias("component")))
         if new.where("was <> component").isEmpty():
             return new.select("id", "component")
         label = new.select("id", "component")
@@ -81,17 +81,17 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100
             break
         colour = cut(left.withColumn("c", F.col("id")))
         while True:
-            near = links.join(colour, links["src"] == colour["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("near"))
-            new = cut(colour.join(near, "id", "left").select("id", F.col("c").alias("was"), F.least("c", F.coalesce("near", "c")).alias("c")))
+            near = links.join(side(colour), links["src"] == colour["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("near"))
+            new = cut(colour.join(side(near), "id", "left").select("id", F.col("c").alias("was"), F.least("c", F.coalesce("near", "c")).alias("c")))
             colour = new.select("id", "c")
             if new.where("was <> c").isEmpty():
                 break
-        inside = links.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst")
+        inside = links.join(side(colour.select(F.col("id").alias("src"), F.col("c").alias("cs"))), "src").join(side(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd"))), "dst").where("cs = cd").select("src", "dst")
         found = closure(colour.where("id = c").select("id"), reverse(cut(inside))).select("id")
-        part = cut(found.join(colour, "id").select("id", F.col("c").alias("component")))
-        done = part if done is None else cut(done.union(part))
-        left = cut(left.join(part, "id", "left_anti"))
-        links = cut(links.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        part = cut(found.join(side(colour), "id").select("id", F.col("c").alias("component")))
+        done = part if done is None else cut(together([done, part]))
+        left = cut(left.join(side(part), "id", "left_anti"))
+        links = cut(links.join(side(left.select(F.col("id").alias("src"))), "src", "left_semi").join(side(left.select(F.col("id").alias("dst"))), "dst", "left_semi"))
     return done if done is not None else nodes.select("id", F.col("id").alias("component")).limit(0)
 
 
@@ -117,15 +117,15 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, level) by peeling nodes without predecessors; nodes on or behind a cycle are left out."""
-    left, links, done = cut(nodes.select("id").distinct()), cut(edges.select("src", "dst").distinct()), None
+    left, links, done = cut(nodes.select("id").distinct()), cut(edges.select("src", "dst").distinct()), []
     for level in range(max_rounds):
-        free = cut(left.join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("long")))
-        if free.isEmpty():
+        free = cut(left.join(side(links.select(F.col("dst").alias("id")).distinct()), "id", "left_anti").withColumn("level", F.lit(level).cast("long")))
+        if not (rows := free.count()):
             break
-        done = free if done is None else done.union(free)
-        left = cut(left.join(free, "id", "left_anti"))
-        links = cut(links.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-    return done if done is not None else nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
+        done = [*done, free] if len(done) < 8 else [cut(together([*done, free]))]
+        left = cut(left.join(side(free, rows), "id", "left_anti"))
+        links = cut(links.join(side(free.select(F.col("id").alias("src")), rows), "src", "left_anti"))
+    return together(done) if done else nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
 
 
 def similarity(edges: DataFrame, min_shared: int = 1) -> DataFrame:

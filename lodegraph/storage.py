@@ -32,7 +32,10 @@ def side(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def together(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
+    """Their union. Each part gets columns of its own, since what Spark knows of a checkpointed table may speak of columns that it
+    no longer has, and a union of two such tables fails to plan."""
+    own = [part.select(*[F.col(c).alias(c) for c in part.columns]) for part in parts]
+    out = own[0]
+    for part in own[1:]:
         out = out.union(part)
     return out

@@ -67,3 +67,15 @@ def test_pagerank_broadcasts_nothing_that_grows(spark, broadcasts):
         rank = {i: 0.15 + 0.85 * sum(rank[a] / len(out[a]) for a in out if i in out[a]) for i in rank}
     assert {r["id"]: r["rank"] for r in got.collect()} == pytest.approx(rank)
     assert {tuple(r) for r in ends.collect()} == {(i, sum(i in b for b in out.values()), len(out[i])) for i in range(n)}
+
+
+def test_levels_and_components_broadcast_nothing_that_grows(spark, broadcasts):
+    nodes = spark.range(100)
+    levels = fixpoint.topological_levels(nodes, half(spark, 100))
+    weak = fixpoint.components(nodes, half(spark, 100).where("dst % 8 <> 0"))
+    strong = fixpoint.strongly_connected(spark.range(6), spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 3), (3, 2), (4, 2)], "src long, dst long"))
+    assert broadcasts(levels) == broadcasts(weak) == broadcasts(strong) == []
+    assert {tuple(r) for r in levels.collect()} == {(k, k.bit_length()) for k in range(100)}
+    top = lambda k: k if k % 8 == 0 else top(k // 2)
+    assert {tuple(r) for r in weak.collect()} == {(k, top(k)) for k in range(100)}
+    assert {tuple(r) for r in strong.collect()} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 5)}
