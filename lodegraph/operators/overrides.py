@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.operators.resolve import ancestors, inherited_member
+from lodegraph.storage import cut, side
+
+#: Stubs, and members, of a cell of protocol_targets; pairs of a task; tasks at most, beyond which they take more pairs each.
+BLOCK, PAIRS, MOST_TASKS = 1024, 1 << 23, 10_000
 
 
 def arity(leaf: Column) -> Column:
@@ -110,10 +114,25 @@ def self_targets(calls: DataFrame, parents: DataFrame, members: DataFrame, abstr
 
 
 def protocol_targets(calls: DataFrame, protocols: DataFrame, members: DataFrame) -> DataFrame:
-    """calls (class, name) that resolved to a protocol's stub to (class, name, member) of every class that has such a member and is no protocol."""
-    stubs = calls.select("class", "name").distinct().join(protocols.select("class").distinct(), "class", "left_semi")
-    real = members.join(protocols.select("class").distinct(), "class", "left_anti").select(F.col("leaf").alias("name"), "member")
-    return stubs.join(real, "name").select("class", "name", "member")
+    """calls (class, name) that resolved to a protocol's stub to (class, name, member) of every class that has such a member and is no protocol.
+
+    All stubs of a name meet all members of it, so a name's two lists are dealt into cells of BLOCK by BLOCK at most on average, and
+    cells, not names, to tasks of a bounded number of pairs.
+    """
+    stubs = calls.select("class", "name").distinct().join(side(protocols.select("class").distinct()), "class", "left_semi")
+    real = members.join(side(protocols.select("class").distinct()), "class", "left_anti").select(F.col("leaf").alias("name"), "member")
+    stubs, real = cut(stubs), cut(real)
+    n = lambda df, x: df.groupBy("name").agg(F.count(F.lit(1)).alias(x))
+    size = cut(n(stubs, "n_stubs").join(side(n(real, "n_real")), "name"))
+    names, pairs = size.agg(F.count(F.lit(1)), F.sum(F.col("n_stubs").cast("double") * F.col("n_real"))).first()
+    tasks = int(max(1, min((pairs or 0) // PAIRS + 1, MOST_TASKS)))
+    blocks = size.select("name", *[F.ceil(F.col(x) / BLOCK).cast("int").alias(y) for x, y in (("n_stubs", "rows"), ("n_real", "cols"))])
+    own = lambda df, x, of: df.join(side(blocks, names), "name").withColumn(x, F.pmod(F.xxhash64(of), F.col(f"{x}s")).cast("int"))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = own(stubs, "row", "class").withColumn("col", every("cols")).select("name", "row", "col", "class")
+    right = own(real, "col", "member").withColumn("row", every("rows")).select("name", "row", "col", "member")
+    cell = ["name", "row", "col"]
+    return left.repartition(tasks, *cell).join(side(right.repartition(tasks, *cell)), cell).select("class", "name", "member")
 
 
 def sole_targets(calls: DataFrame, parents: DataFrame, members: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph import storage
-from lodegraph.operators import fixpoint, flow
+from lodegraph.operators import fixpoint, flow, overrides
 
 
 @pytest.fixture
@@ -79,3 +80,16 @@ def test_levels_and_components_broadcast_nothing_that_grows(spark, broadcasts):
     top = lambda k: k if k % 8 == 0 else top(k // 2)
     assert {tuple(r) for r in weak.collect()} == {(k, top(k)) for k in range(100)}
     assert {tuple(r) for r in strong.collect()} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 5)}
+
+
+def test_one_name_of_a_protocol_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(overrides, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(overrides, "PAIRS", 256, raising=False)
+    protocols = spark.range(60).selectExpr("concat('p', id) AS class")
+    real = spark.range(50).selectExpr("concat('c', id) AS class", "'m' AS leaf", "concat('c', id, '.m') AS member")
+    members = real.union(protocols.selectExpr("class", "'m'", "concat(class, '.m')")).union(spark.createDataFrame([("c", "n", "c.n")], real.schema))
+    calls = protocols.withColumn("name", F.lit("m")).union(spark.createDataFrame([("p1", "n"), ("c1", "m"), ("p2", "x")], "class string, name string"))
+    got = overrides.protocol_targets(calls, protocols, members).withColumn("task", F.spark_partition_id()).collect()
+    want = [(f"p{p}", "m", f"c{c}.m") for p in range(60) for c in range(50)] + [("p1", "n", "c.n")]
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    assert len({r["task"] for r in got}) >= 8
