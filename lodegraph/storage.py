@@ -31,6 +31,18 @@ def side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= FEW else df.hint("merge")
 
 
+#: Rows, of a few values each, that a task takes in: some hundreds of MB once they are sorted and put in hash tables.
+ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int | None, *columns: str) -> DataFrame:
+    """df for a join or an aggregate by these columns, in tasks of ROWS rows. Where all cores hold the rows, or their number isn't known,
+    the planner deals them: by the compressed bytes of a shuffle, which say little of what they take in memory, or by a fixed number
+    of partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if rows is None or rows <= ROWS * cores else df.repartition(-(-rows // ROWS), *columns)
+
+
 def together(parts: list[DataFrame]) -> DataFrame:
     """Their union. Each part gets columns of its own, since what Spark knows of a checkpointed table may speak of columns that it
     no longer has, and a union of two such tables fails to plan."""

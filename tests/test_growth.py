@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph import storage
+from lodegraph.graph import from_tables
 from lodegraph.operators import fixpoint, flow, overrides
 
 
@@ -93,3 +94,18 @@ def test_one_name_of_a_protocol_is_many_tasks(spark, monkeypatch):
     want = [(f"p{p}", "m", f"c{c}.m") for p in range(60) for c in range(50)] + [("p1", "n", "c.n")]
     assert sorted(tuple(r)[:3] for r in got) == sorted(want)
     assert len({r["task"] for r in got}) >= 8
+
+
+def held(df):
+    """Rows of each task that has some."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+def test_edges_of_the_tables_are_dealt_by_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS", 200, raising=False)
+    g = from_tables(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for kind in ("CALLS", "REFERENCES"):
+        assert max(held(g.typed(kind))) < 2 * 200 < n // 8
+    assert g.edges.count() <= g.rows
+    assert g.edges.distinct().count() == g.edges.count() < from_tables(spark, sf_dir, once=False).edges.count()
