@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.graph import Graph
 from lodegraph.operators.fixpoint import closure
 from lodegraph.operators.flow import spread
+from lodegraph.storage import dealt, side
 
 
 def merge_nodes(old: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -19,18 +20,21 @@ def merge_nodes(old: DataFrame, batch: DataFrame, keys: list[str], seq: str) ->
     return both.select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in fields])
 
 
-def merge_edges(batch: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose ends exist, one for each (src, rel_type, dst, via, kind); nulls are a value of their own."""
-    ends = nodes.select("id").distinct()
-    there = batch.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return there.select(*batch.columns).dropDuplicates(["src", "rel_type", "dst", "via", "kind"])
+def merge_edges(batch: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Edges whose ends exist, one for each (src, rel_type, dst, via, kind); nulls are a value of their own. rows: of the batch, where known."""
+    ends, key = nodes.select("id").distinct(), ["src", "rel_type", "dst", "via", "kind"]
+    # inner joins with distinct ends: the planner would push a semi join below dealt() and deal the rows twice
+    there = dealt(batch, rows, "src").join(side(ends.withColumnRenamed("id", "src")), "src")
+    there = dealt(there, rows, "dst").join(side(ends.withColumnRenamed("id", "dst")), "dst")
+    return there.select(*batch.columns).dropDuplicates(key)
 
 
-def attempted_and_created(batch: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rel_type, attempted, created): rows of the batch, and those whose ends exist."""
+def attempted_and_created(batch: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """(rel_type, attempted, created): rows of the batch, and those whose ends exist. rows: of the batch, where known."""
     ends = nodes.select("id").distinct()
     a, b = ends.select(F.col("id").alias("src"), F.lit(True).alias("_a")), ends.select(F.col("id").alias("dst"), F.lit(True).alias("_b"))
-    return batch.join(a, "src", "left").join(b, "dst", "left").groupBy("rel_type").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("_a") & F.col("_b")).alias("created"))
+    there = dealt(dealt(batch, rows, "src").join(side(a), "src", "left"), rows, "dst").join(side(b), "dst", "left")
+    return there.groupBy("rel_type").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("_a") & F.col("_b")).alias("created"))
 
 
 def delete_nodes(graph: Graph, gone: DataFrame) -> Graph:
@@ -126,8 +130,10 @@ def replace_files(before: Graph, changed: DataFrame, parsed: Graph, rel_types: l
     return restore_inbound(before, after, changed)
 
 
-def relink(edges: DataFrame, rel_type: str, sources: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Edges of the type that leave these sources (id) are dropped and the fresh ones take their place."""
-    stale = edges.where(F.col("rel_type") == rel_type).join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    kept = edges.join(stale.select("src", "rel_type", "dst").distinct(), ["src", "rel_type", "dst"], "left_anti").select(*edges.columns)
-    return kept.unionByName(fresh.select(*edges.columns)).distinct()
+def relink(edges: DataFrame, rel_type: str, sources: DataFrame, fresh: DataFrame, rows: int | None = None) -> DataFrame:
+    """Edges of the type that leave these sources (id) are dropped and the fresh ones take their place. rows: edges at most, where known."""
+    such = F.col("rel_type").eqNullSafe(rel_type)
+    gone = sources.select(F.col("id").alias("src"), F.lit(True).alias("_gone")).distinct()
+    kept = dealt(edges.where(such), rows, "src").join(side(gone), "src", "left").where("_gone is null")  # an anti join would be pushed below dealt()
+    new = edges.where(~such).unionByName(kept.select(*edges.columns)).unionByName(fresh.select(*edges.columns))
+    return dealt(new, rows, *edges.columns).distinct()

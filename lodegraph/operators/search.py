@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.storage import dealt, side
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of doubles, 0 where one has no length."""
@@ -58,11 +60,14 @@ def without_projects(vectors: DataFrame, projects: DataFrame) -> DataFrame:
     return vectors.join(gone, F.split("qualified_name", r"\.")[0] == F.col("project"), "left_anti")
 
 
-def embedding_candidates(nodes: DataFrame, defines: DataFrame) -> DataFrame:
-    """(id, qualified_name, start_line, end_line, path) of the functions and methods that modules define (src, dst), with their spans."""
+def embedding_candidates(nodes: DataFrame, defines: DataFrame, rows: int | None = None) -> DataFrame:
+    """(id, qualified_name, start_line, end_line, path) of the functions and methods that modules define (src, dst), with their spans.
+    rows: of defines at most, where known."""
     modules = nodes.where("label = 'Module'").select(F.col("id").alias("src"), F.col("path").alias("module_path"))
     code = nodes.where(F.col("label").isin("Function", "Method")).select(F.col("id").alias("dst"), "qualified_name", "start_line", "end_line")
-    return defines.join(modules, "src").join(code, "dst").select(F.col("dst").alias("id"), "qualified_name", "start_line", "end_line", F.col("module_path").alias("path")).distinct()
+    met = dealt(dealt(defines, rows, "src").join(side(modules), "src"), rows, "dst").join(side(code), "dst")
+    got = met.select(F.col("dst").alias("id"), "qualified_name", "start_line", "end_line", F.col("module_path").alias("path"))
+    return dealt(got, rows, *got.columns).distinct()
 
 
 def structural_cap(rows: DataFrame, order: list[str], most: int = 200) -> DataFrame:

@@ -665,7 +665,7 @@ def a16_attempted_and_created(spark, d):
 
     line, n = t(spark, d, "lineitem"), t(spark, d, "part").count()
     row = lambda k: line.select(F.concat(F.lit("p"), (F.col("l_partkey") + k).cast("string")).alias("src"), F.lit("REFERENCES").alias("rel_type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    return attempted_and_created(row(0).union(row(n)), graph(spark, d).nodes.select("id"))
+    return attempted_and_created(row(0).union(row(n)), graph(spark, d).nodes.select("id"), 2 * line.count())
 
 
 @query("SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")

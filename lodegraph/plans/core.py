@@ -334,7 +334,7 @@ def e7_link_endpoints(spark, d):
 def e8_relink(spark, d):
     g = graph(spark, d)
     sources = g.labelled("Function").where(F.col("id").endswith("3")).select("id")
-    return merge.relink(g.edges.select("src", "rel_type", "dst"), "REFERENCES", sources, sources.select(F.col("id").alias("src"), F.lit("REFERENCES").alias("rel_type"), F.lit("s1").alias("dst")))
+    return merge.relink(g.edges.select("src", "rel_type", "dst"), "REFERENCES", sources, sources.select(F.col("id").alias("src"), F.lit("REFERENCES").alias("rel_type"), F.lit("s1").alias("dst")), g.rows)
 
 
 # Upkeep
@@ -343,7 +343,7 @@ def e8_relink(spark, d):
 @query("SELECT DISTINCT src, rel_type, dst, via, kind FROM (SELECT 'p' || l_partkey AS src, 'FLOWS_TO' AS rel_type, 's' || l_suppkey AS dst, CASE WHEN l_linenumber % 2 = 0 THEN 'arg:' || (l_linenumber % 3) END AS via, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS kind FROM lineitem)")
 def m3_parallel_edges(spark, d):
     line = t(spark, d, "lineitem").selectExpr("concat('p', l_partkey) AS src", "'FLOWS_TO' AS rel_type", "concat('s', l_suppkey) AS dst", "if(l_linenumber % 2 = 0, concat('arg:', l_linenumber % 3), null) AS via", "if(l_returnflag <> 'N', l_returnflag, null) AS kind")
-    return merge.merge_edges(line, graph(spark, d).nodes.select("id"))
+    return merge.merge_edges(line, graph(spark, d).nodes.select("id"), line.count())
 
 
 @query("SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM edges WHERE rel_type = 'CONTAINS_MODULE' UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey % 4 = 0) GROUP BY src, dst", EDGES)
@@ -407,7 +407,7 @@ def v5_semantic_search(spark, d):
 @query("SELECT DISTINCT dst AS id, b.qualified_name, b.start_line, b.end_line, a.path FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE rel_type = 'CALLS'", NODES, EDGES)
 def v6_embedding_candidates(spark, d):
     g = graph(spark, d)
-    return search.embedding_candidates(g.nodes, g.typed("CALLS").select("src", "dst"))
+    return search.embedding_candidates(g.nodes, g.typed("CALLS").select("src", "dst"), g.rows)
 
 
 @query("SELECT id FROM nodes WHERE string_split(qualified_name, '.')[1] NOT IN ('ASIA', 'EUROPE')", NODES)

@@ -36,11 +36,13 @@ ROWS = 1 << 20
 
 
 def dealt(df: DataFrame, rows: int | None, *columns: str) -> DataFrame:
-    """df for a join or an aggregate by these columns, in tasks of ROWS rows. Where all cores hold the rows, or their number isn't known,
+    """df for a join or an aggregate by these columns, in tasks of ROWS rows at most on average, and no fewer than the session's shuffle
+    partitions, since a join would deal fewer again. Where all cores hold the rows, or their number isn't known,
     the planner deals them: by the compressed bytes of a shuffle, which say little of what they take in memory, or by a fixed number
     of partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if rows is None or rows <= ROWS * cores else df.repartition(-(-rows // ROWS), *columns)
+    if rows is None or rows <= ROWS * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(-(-rows // ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), *columns)
 
 
 def together(parts: list[DataFrame]) -> DataFrame:

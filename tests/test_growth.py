@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import storage
 from lodegraph.graph import from_tables
-from lodegraph.operators import fixpoint, flow, overrides
+from lodegraph.operators import fixpoint, flow, merge, overrides, search
 
 
 @pytest.fixture
@@ -109,3 +109,15 @@ def test_edges_of_the_tables_are_dealt_by_rows(spark, sf_dir, monkeypatch):
         assert max(held(g.typed(kind))) < 2 * 200 < n // 8
     assert g.edges.count() <= g.rows
     assert g.edges.distinct().count() == g.edges.count() < from_tables(spark, sf_dir, once=False).edges.count()
+
+
+def test_upkeep_is_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS", 50, raising=False)
+    n = 2000
+    nodes = spark.range(n).selectExpr("concat('p', id) AS id", "if(id % 2 = 0, 'Module', 'Function') AS label", "'q' AS qualified_name", "id AS start_line", "id AS end_line", "'f' AS path")
+    batch = spark.range(n).selectExpr("concat('p', id) AS src", "'R' AS rel_type", "concat('p', id + 1) AS dst", "cast(null as string) AS via", "'k' AS kind")
+    edges = batch.select("src", "rel_type", "dst")
+    for got, rows in ((merge.merge_edges(batch.union(batch), nodes, 2 * n), n - 1), (merge.relink(edges, "R", nodes.where("label = 'Module'").select("id"), edges.limit(0), n), n // 2), (search.embedding_candidates(nodes, edges, n), n // 2)):
+        assert got.count() == rows
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(merge.attempted_and_created(batch, nodes, n).first()) == ("R", n, n - 1)
