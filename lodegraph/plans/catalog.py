@@ -157,7 +157,7 @@ def g13_head_of_split(spark, d):
 
 @query("SELECT DISTINCT a.label AS src, rel_type AS rel, b.label AS dst FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id", NODES, EDGES)
 def g14_distinct_triples(spark, d):
-    g = graph(spark, d)
+    g = from_tables(spark, d, once=False)
     a, b = pattern.renamed(g.nodes.select("id", "label"), "a"), pattern.renamed(g.nodes.select("id", "label"), "b")
     return g.edges.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id")).select(F.col("a_label").alias("src"), F.col("rel_type").alias("rel"), F.col("b_label").alias("dst")).distinct()
 
@@ -733,7 +733,7 @@ def m13_affected_callers(spark, d):
 def m16_undocumented_triples(spark, d):
     from lodegraph.operators.audit import undocumented_triples
 
-    g = graph(spark, d)
+    g = from_tables(spark, d, once=False)
     return undocumented_triples(g.nodes, g.edges)
 
 

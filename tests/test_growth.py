@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph import storage
 from lodegraph.graph import from_tables
 from lodegraph.operators import fixpoint, flow, merge, overrides, search
+from lodegraph.plans import catalog
 
 
 @pytest.fixture
@@ -121,3 +122,9 @@ def test_upkeep_is_dealt_by_rows(spark, monkeypatch):
         assert got.count() == rows
         assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert tuple(merge.attempted_and_created(batch, nodes, n).first()) == ("R", n, n - 1)
+
+
+def test_triples_shuffle_no_edges_to_drop_repeated_ones(spark, sf_dir):
+    for name in ("g14_distinct_triples", "m16_undocumented_triples"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(o_custkey" not in plan and "hashpartitioning(l_partkey" not in plan
